@@ -30,7 +30,7 @@ BITS_CHAR, BITS_DIGIT, BITS_LETTER = 8.0, 3.3219280948873623, 5.700439718141092
 
 def blank_trimmed(text: Column) -> Column:
     """text without blanks (any white space, no-break spaces too) at both ends."""
-    return F.regexp_replace(text, r"^[\s  ]+|[\s  ]+$", "")
+    return F.regexp_replace(text, r"^[\s\u00a0\u202f]+|[\s\u00a0\u202f]+$", "")
 
 
 def readable_number(text: Column) -> Column:

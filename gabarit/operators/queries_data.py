@@ -81,8 +81,9 @@ _SHARES = {
 _P2_PAIRS = ", q AS (SELECT *, lag(load_id) OVER (PARTITION BY feed_name, column_name ORDER BY load_no, load_id) prev FROM p WHERE feed_name IS NOT NULL AND load_no IS NOT NULL) "
 _UNITS = {"mm": ("mm", "1"), "cm": ("mm", "10"), "in": ("mm", "25.4"), "ft": ("mm", "304.8"), "yd": ("mm", "914.4"), "kg": ("kg", "1"), "lb": ("kg", "0.45359237"), "short ton": ("kg", "907.18474")}
 _WORDS = {
-    "mm": "mm|millim|millimetres", "cm": "cm|c\\.m|centimetres|zentimeter", "in": "in|inch|inches", "ft": "ft|feet|foot", "yd": "yd|yards", "m": "m|metres?",
+    "mm": "mm|millim|millimetres", "cm": "cm|c\\.m|centimetres|zentimeter", "ft": "ft|feet|foot", "yd": "yd|yards", "m": "m|metres?",
     "kg": "kgs?|kilograms|kilogramm", "lb": "lbs?|pounds", "short ton": "short tons?|sh tn|us tons", "t": "t|tonnes?",
+    "in": "in|inch|inches",
 }
 _CASE = lambda col, wrap: "CASE " + " ".join(f"WHEN regexp_matches({col}, '{wrap.format(w)}') THEN '{u}'" for u, w in _WORDS.items()) + " END"
 _P4 = rf"""

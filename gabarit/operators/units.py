@@ -39,7 +39,7 @@ SNAP_LOG = math.log(1.045)  # half the distance of a yard from a metre
 MIN_LINKS = 5
 ROUNDS = 3  # steps through the graph of notations
 
-_SPACE = r"[\s  ]"
+_SPACE = r"[\s\u00a0\u202f\u2009]"
 _FEET = r"(?:'|’|′|ft\.?|feet|foot)"
 _INCH = r"(?:\"|”|″|''|in\.?|inch|inches)"
 FT_IN = rf"^([0-9]+){_SPACE}*{_FEET}{_SPACE}*-?{_SPACE}*([0-9]+(?:[.,][0-9]+)?){_SPACE}*{_INCH}?$"
@@ -62,14 +62,14 @@ def _word_map() -> Column:
     return F.create_map(*[F.lit(x) for unit, words in UNIT_WORDS.items() for w in words for x in (w, unit)])
 
 
-def unit_of_words(kind: Column, text: Column) -> Column:
-    """The unit that a label or remark names: the label as a whole, else the first of its words (or two neighbours) that is a unit of this kind; else null."""
+def units_of_words(kind: Column, text: Column) -> Column:
+    """The units of this kind that a label or remark names, in the order of its words (two neighbours may be one unit); "in" counts last, as it may be a preposition."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    twos = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat(F.get(words, i - 1), F.coalesce(F.get(words, i), F.lit(""))))
+    twos = F.transform(words, lambda w, i: F.concat(w, F.coalesce(F.get(words, i + 1), F.lit(""))))
     of = lambda w: F.try_element_at(_word_map(), w)
     fits = lambda u: u.isNotNull() & F.when(kind == "weight", u.isin(*WEIGHT_UNITS)).otherwise(u.isin(*LENGTH_UNITS))
-    found = F.filter(F.transform(F.concat(F.array(_letters(text)), twos, words), of), fits)
-    return F.get(found, F.lit(0))
+    plain = F.concat(F.array(_letters(text)), twos, F.filter(words, lambda w: w != "in"), F.filter(words, lambda w: w == "in"))
+    return F.array_distinct(F.filter(F.transform(plain, of), fits))
 
 
 def stated(loads: DataFrame) -> DataFrame:
@@ -111,13 +111,15 @@ def learned_units(rows: DataFrame) -> DataFrame:
     """(kind, slot, token, n, links, log_scale, offset, spread, learned, worded, unit): the notations of stated() and the unit of each.
 
     learned: by links through the graph, null where they are under MIN_LINKS, disagree (middle half wider than SNAP_LOG) or fit no
-    known conversion; worded: by its words. unit: learned where words say nothing or agree, else worded. A notation with neither has none.
+    known conversion; worded: the first unit in its words. unit: learned where the words name no unit or this one among others, else
+    worded. A notation with neither has none.
     Entities are pre-aggregated to one value per notation, and each is linked to its record's most common notation only, so that an entity
     of many rows makes no more links than it has notations.
     """
     keys = ["kind", "slot", "token"]
     total = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "notations")
-    total = total.withColumn("worded", F.when(F.col("slot") != "none", unit_of_words(F.col("kind"), F.col("token"))))
+    total = total.withColumn("words", F.when(F.col("slot") != "none", units_of_words(F.col("kind"), F.col("token"))))
+    total = total.withColumn("worded", F.get("words", F.lit(0)))
     total = total.withColumn("base", (F.col("slot") == "none") | F.coalesce(F.col("worded").isin(*BASE), F.lit(False)))
     per = rows.filter(F.col("record_id").isNotNull()).groupBy("record_id", *keys).agg(F.percentile_approx(F.col("number").cast("double"), 0.5, 100).alias("v"))
     per = per.join(small(total.select(*keys, "n", "base")), keys)
@@ -151,12 +153,12 @@ def learned_units(rows: DataFrame) -> DataFrame:
         known = total.filter("base").select("kind", F.col("slot").alias("to_slot"), F.col("token").alias("to_token"), F.lit(math.log(1000.0)).alias("at")).unionByName(
             more.join(total.filter("base").select("kind", F.col("slot").alias("to_slot"), F.col("token").alias("to_token")), kb, "left_anti")
         )
-    out = total.join(best, keys, "left").select(*keys, "n", "worded", "base", "b.*")
+    out = total.join(best, keys, "left").select(*keys, "n", "words", "worded", "base", "b.*")
     learned = F.when(F.col("spread") <= SNAP_LOG, _snap(F.col("kind"), F.col("log_scale")))
     learned = F.when(F.col("base"), F.when(F.col("kind") == "weight", "t").otherwise("m")).otherwise(learned)
     out = out.withColumn("learned", learned)
-    # no unit in the words and a scale of one: a remark or label about something else
-    return out.withColumn("unit", F.coalesce("worded", "learned")).drop("base")
+    confirmed = F.when(F.array_contains("words", F.col("learned")), F.col("learned"))
+    return out.withColumn("unit", F.coalesce(confirmed, "worded", "learned")).drop("base", "words")
 
 
 def converted(loads: DataFrame) -> DataFrame:
