@@ -46,15 +46,15 @@ BEFORE = [
     ("der petent ", r"\s+wohnt\b"), ("die petentin ", r"\s+wohnt\b"), ("unterschrieben von ", r",\s"), ("von der tribüne, ", r"\s*:"), ("répondre à ", r"\s*\?"),
     ("le docteur ", r"\s+a\s+soigné"), ("peut joindre ", r"\s+au\b"), ("depuis la tribune, ", r"\s*:"), ("été refusée à ", r"\s*\."), ("volant se trouvait ", r",\s+de\b"),
     ("habitante, ", r",\s+demeurant\b"), ("habitant, ", r",\s+demeurant\b"), ("le nom de ", r",\s+numéro"), ("signataire ", r"\s+habite\b"), ("pétitionnaire ", r"\s+habite\b"),
-    ("signé ", r",\s+\d"), ("kontakt: ", r",\s+\S+\s?(?:@|\(at\)|at\s)"), ("contact : ", r",\s+\S+\s?(?:@|\(at\)|at\s)"), ("contact: ", r",\s+\S+\s?(?:@|\(at\)|at\s)"),
-    ("witness statement no. ", r",\s+\S+\s?(?:@|\(at\)|at\s)"), ("exhibit ", r"\s+/\s+\d"), ("constituent, ", r",\s+wrote\b"), ("read it out: \"", r",\s+[\d(+]"), ("read it out: “", r",\s+[\d(+]"),
+    ("signé ", r",\s+\d"), ("kontakt: ", r",\s+\S+\s?(?:@|\(at\)|\[at\]|at\s)"), ("contact : ", r",\s+\S+\s?(?:@|\(at\)|\[at\]|at\s)"), ("contact: ", r",\s+\S+\s?(?:@|\(at\)|\[at\]|at\s)"),
+    ("witness statement no. ", r",\s+\S+\s?(?:@|\(at\)|\[at\]|at\s)"), ("exhibit ", r"\s+/\s+\d"), ("constituent, ", r",\s+wrote\b"), ("read it out: \"", r",\s+[\d(+]"), ("read it out: “", r",\s+[\d(+]"),
 ]
 #: Cues after a private name.
 AFTER = [
     ", a physician in ", " waited ", " and her brother ", " and his brother ", ", who drives ", ", who dr", ", ausweisnummer ", " ist unter ", " hat die verletzten ", ", numéro d'identité", ", numéro d’identité",
     " has now written ", ", wrote to me from ", " of ",
 ]
-_AFTER_CHECK = {" waited ": r" waited\s+\d+\s+days\s+at\b", " ist unter ": r" ist unter\s+[+(\d]", " of ": r" of\s+[^.;]{4,50}?\s+has\s+called\s+my", " and her brother ": r".{13}\s+run\b", " and his brother ": r".{13}\s+run\b"}
+_AFTER_CHECK = {" waited ": r" waited\s+\d+\s+days\s+at\b", " ist unter ": r" ist unter\s+[+(\d]", " of ": r" of\s+[^.;]{4,50}?\s+has\s+called\s+my", " and her brother ": r" and her brother\s+runs?\b", " and his brother ": r" and his brother\s+runs?\b"}
 
 PHONE_OR_ID = re.compile(r"(?<![\w])(?:\+\d|\(0|\(\d|\d)[\d() ./  ‑\n-]*\d(?!\w)")
 _PHONE = re.compile(
