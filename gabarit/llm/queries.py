@@ -5,9 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gabarit.llm.linkage import matched
+from gabarit.llm.personal import personal_spans, replaced
 from gabarit.llm.survivors import survivors
 from gabarit.sources.tables import table
 
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matched(table(spark, d, "bridge_features"), table(spark, d, "restrictions"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("objectid", "restriction_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_spans(table(spark, d, "documents"), table(spark, d, "members"))
+
+
+def p8_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return replaced(table(spark, d, "documents"), table(spark, d, "members"))
+
+
 FIELDS = {"status": True, "value_source": True, "verified_at": False}
 
 
@@ -20,7 +40,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_survivors(spark, d).select("group_id", pairs).filter("source_id IS NOT NULL")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_survivors)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p5_found, p5_survivors, p8_found, p8_replaced)}
 
 _P5 = r"""
 WITH r AS (SELECT DISTINCT id, restriction_type, regexp_replace(lower(source.reference), '[^a-z0-9]', '', 'g') k, coalesce(s.trust_rank, 2147483647) trust, updated_at,
