@@ -41,7 +41,8 @@ def p4_converted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_units(spark: SparkSession, d: str) -> DataFrame:
-    return learned_units(stated(table(spark, d, "restriction_loads"))).select("kind", "slot", "token", "n", "links", "log_scale", "offset", "learned", "worded", "unit")
+    loads = table(spark, d, "restriction_loads")
+    return learned_units(loads, materialize(stated(loads), "forms")).select("kind", "slot", "token", "n", "links", "log_scale", "offset", "learned", "worded", "unit")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p3_found, p4_found, p4_converted, p4_units)}

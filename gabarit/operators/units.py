@@ -73,27 +73,38 @@ def units_of_words(kind: Column, text: Column) -> Column:
 
 
 def stated(loads: DataFrame) -> DataFrame:
-    """(load_row_id, record_id, kind, slot, token, number): rows whose value_raw holds a number, with the notation of its unit.
+    """(v, u, r, kind, slot, token, notation, number, n): the distinct forms of loads that hold a number, parsed once each, with their rows.
 
-    kind: length or weight, by restriction_type; rows of other types are left out. slot: value, unit, remark or none; token: its letters
-    (of a remark, all its words). number: feet and inches together count in inches. A value that is no number (words, signs, blank) is left out.
+    v, u, r: value_raw, unit_raw and remark, trimmed, empty where null; kind: length or weight, by restriction_type (rows of other
+    types are left out). slot: value, unit, remark or none, with token its letters (of a remark, all its words); notation: a number for
+    kind, slot and token. number: feet and inches together count in inches. A value that is no number (words, signs, blank) is left out.
     """
-    v = F.regexp_replace(F.col("value_raw"), rf"^{_SPACE}+|{_SPACE}+$", "")
-    low = F.lower(v)
-    kind = F.when(F.col("restriction_type").isin(*WEIGHT_TYPES), "weight").when(F.col("restriction_type").isin(*LENGTH_TYPES), "length")
-    unit, remark = _letters(F.coalesce("unit_raw", F.lit(""))), F.lower(F.trim(F.coalesce("remark", F.lit(""))))
-    feet = lambda g: plain_number(F.regexp_extract(low, FT_IN, g))
-    tail = _letters(F.regexp_extract(low, NUMBER_UNIT, 2))
-    is_ftin, is_ft, is_num = low.rlike(FT_IN), low.rlike(FT_ONLY), low.rlike(NUMBER_UNIT)
+    low = F.lower(F.col("v"))
+    unit, remark = _letters(F.col("u")), F.lower(F.col("r"))
+    feet = lambda g: plain_number(F.regexp_extract(F.col("low"), FT_IN, g))
+    forms = keyed(loads).groupBy("v", "u", "r", "kind").agg(F.count(F.lit(1)).alias("n")).withColumn("low", low)
+    forms = forms.withColumn("ftin", F.col("low").rlike(FT_IN)).withColumn("ft", F.col("low").rlike(FT_ONLY)).withColumn("num", F.col("low").rlike(NUMBER_UNIT))
+    forms = forms.withColumn("tail", _letters(F.regexp_extract("low", NUMBER_UNIT, 2)))
     number = (
-        F.when(is_ftin, (feet(1) * 12 + feet(2)).cast("decimal(24,6)"))
-        .when(is_ft, plain_number(F.regexp_extract(low, FT_ONLY, 1)))
-        .when(is_num, plain_number(F.regexp_extract(low, NUMBER_UNIT, 1)))
+        F.when(F.col("ftin"), (feet(1) * 12 + feet(2)).cast("decimal(24,6)"))
+        .when(F.col("ft"), plain_number(F.regexp_extract("low", FT_ONLY, 1)))
+        .when(F.col("num"), plain_number(F.regexp_extract("low", NUMBER_UNIT, 1)))
     )
-    slot = F.when(is_ftin | is_ft | (tail != ""), "value").when(unit != "", "unit").when(remark != "", "remark").otherwise("none")
-    token = F.when(is_ftin, "ftin").when(is_ft, "ft").when(tail != "", tail).when(unit != "", unit).otherwise(remark)
-    out = loads.select("load_row_id", "record_id", kind.alias("kind"), slot.alias("slot"), token.alias("token"), number.alias("number"))
-    return out.filter(F.col("kind").isNotNull() & (F.col("number") > 0))
+    slot = F.when(F.col("ftin") | F.col("ft") | (F.col("tail") != ""), "value").when(unit != "", "unit").when(remark != "", "remark").otherwise("none")
+    token = F.when(F.col("ftin"), "ftin").when(F.col("ft"), "ft").when(F.col("tail") != "", F.col("tail")).when(unit != "", unit).otherwise(remark)
+    out = forms.select("v", "u", "r", "kind", "n", slot.alias("slot"), token.alias("token"), number.alias("number")).filter(F.col("number") > 0)
+    return out.withColumn("notation", F.xxhash64("kind", "slot", "token"))
+
+
+def keyed(loads: DataFrame) -> DataFrame:
+    """load_row_id, record_id, v, u, r, kind: what stated() groups by."""
+    bare = lambda c: F.coalesce(F.regexp_replace(F.col(c), rf"^{_SPACE}+|{_SPACE}+$", ""), F.lit(""))
+    kind = F.when(F.col("restriction_type").isin(*WEIGHT_TYPES), "weight").when(F.col("restriction_type").isin(*LENGTH_TYPES), "length")
+    rows = loads.filter(F.col("value_raw").isNotNull()).select("load_row_id", "record_id", bare("value_raw").alias("v"), bare("unit_raw").alias("u"), bare("remark").alias("r"), kind.alias("kind"))
+    return rows.filter(F.col("kind").isNotNull())
+
+
+FORM = ["v", "u", "r", "kind"]
 
 
 def _snap(kind: Column, log_ratio: Column) -> Column:
@@ -107,30 +118,28 @@ def _factor(unit: Column, as_type: str = "double") -> Column:
     return F.create_map(*[F.lit(x) for u, f in (LENGTH_UNITS | WEIGHT_UNITS).items() for x in (u, f)])[unit].cast(as_type)
 
 
-def learned_units(rows: DataFrame) -> DataFrame:
-    """(kind, slot, token, n, links, log_scale, offset, spread, learned, worded, unit): the notations of stated() and the unit of each.
+def learned_units(loads: DataFrame, forms: DataFrame) -> DataFrame:
+    """(notation, kind, slot, token, n, links, log_scale, offset, spread, learned, worded, unit): the notations of forms and the unit of each.
 
-    learned: by links through the graph, null where they are under MIN_LINKS, disagree (middle half wider than SNAP_LOG) or fit no
-    known conversion; worded: the first unit in its words. unit: learned where the words name no unit or this one among others, else
-    worded. A notation with neither has none.
-    Entities are pre-aggregated to one value per notation, and each is linked to its record's most common notation only, so that an entity
-    of many rows makes no more links than it has notations.
+    forms: stated(loads), written. learned: by links through the graph, null where they are under MIN_LINKS, disagree (middle half wider
+    than SNAP_LOG) or fit no known conversion; worded: the first unit in its words. unit: learned where the words name no unit or this
+    one among others, else worded. A notation with neither has none. Entities are pre-aggregated to one mean per notation, and each is
+    linked to its record's most common notation only, so that an entity of many rows makes no more links than it has notations.
     """
-    keys = ["kind", "slot", "token"]
-    total = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "notations")
+    total = forms.groupBy("notation", "kind", "slot", "token").agg(F.sum("n").alias("n"))
     total = total.withColumn("words", F.when(F.col("slot") != "none", units_of_words(F.col("kind"), F.col("token"))))
     total = total.withColumn("worded", F.get("words", F.lit(0)))
-    total = total.withColumn("base", (F.col("slot") == "none") | F.coalesce(F.col("worded").isin(*BASE), F.lit(False)))
-    per = rows.filter(F.col("record_id").isNotNull()).groupBy("record_id", *keys).agg(F.percentile_approx(F.col("number").cast("double"), 0.5, 100).alias("v"))
-    per = per.join(small(total.select(*keys, "n", "base")), keys)
-    me = F.struct(*keys)
+    total = materialize(total.withColumn("base", (F.col("slot") == "none") | F.coalesce(F.col("worded").isin(*BASE), F.lit(False))), "notations")
+    rows = keyed(loads).filter(F.col("record_id").isNotNull()).join(small(forms.select(*FORM, "notation", F.col("number").cast("double").alias("x"))), FORM)
+    per = rows.groupBy("record_id", "notation").agg(F.avg("x").alias("v"))
+    per = per.join(small(total.select("notation", "kind", "n", "base")), "notation")
     anchor = Window.partitionBy("record_id", "kind")
-    per = per.withColumn("to", F.max_by(F.struct(*keys, "v", "base"), F.struct("base", "n", "slot", "token")).over(anchor))
-    ratio = F.log(F.col("to.v") / F.col("v"))
+    per = per.withColumn("to", F.max(F.struct("base", "n", "notation", "v")).over(anchor))
+    keys, ratio = ["notation", "kind"], F.log(F.col("to.v") / F.col("v"))
     edges = (
-        per.filter(me != F.struct("to.kind", "to.slot", "to.token"))
+        per.filter(F.col("notation") != F.col("to.notation"))
         .withColumn("r", ratio)
-        .groupBy(*keys, F.col("to.slot").alias("to_slot"), F.col("to.token").alias("to_token"), F.col("to.base").alias("to_base"))
+        .groupBy(*keys, F.col("to.notation").alias("to_notation"))
         .agg(
             F.count(F.lit(1)).alias("links"),
             F.percentile_approx("r", [0.25, 0.5, 0.75], 1000).alias("q"),
@@ -138,22 +147,19 @@ def learned_units(rows: DataFrame) -> DataFrame:
             F.percentile_approx(F.col("to.v"), 0.5, 1000).alias("to_mid"),
         )
     )
-    edges = materialize(edges.filter(F.col("links") >= MIN_LINKS), "notation-links").withColumn("base_log", F.lit(math.log(1000.0)))
-    kb = ["kind", "to_slot", "to_token"]
+    edges = materialize(edges.filter(F.col("links") >= MIN_LINKS), "notation-links")
     spread = F.col("q")[2] - F.col("q")[0]
     # metres and tonnes stand at log 1000 of millimetres and kilograms; a step through the graph adds the scale of its link
-    known = total.filter("base").select("kind", F.col("slot").alias("to_slot"), F.col("token").alias("to_token"), F.lit(math.log(1000.0)).alias("at"))
-    best = None
+    bases = total.filter("base").select(F.col("notation").alias("to_notation"), F.lit(math.log(1000.0)).alias("at"))
+    known, best = bases, None
     for _ in range(ROUNDS):
-        step = edges.join(known, kb).withColumn("log_scale", F.col("q")[1] + F.col("at")).withColumn("spread", spread)
+        step = edges.join(known, "to_notation").withColumn("log_scale", F.col("q")[1] + F.col("at")).withColumn("spread", spread)
         step = step.withColumn("offset", F.col("to_mid") - F.exp(F.col("q")[1]) * F.col("v_mid"))
         best = step.groupBy(*keys).agg(F.max_by(F.struct("links", "log_scale", "spread", "offset"), F.struct("links", "log_scale")).alias("b"))
         snapped = best.withColumn("u", _snap(F.col("kind"), F.col("b.log_scale"))).filter(F.col("u").isNotNull() & (F.col("b.spread") <= SNAP_LOG))
-        more = snapped.select("kind", F.col("slot").alias("to_slot"), F.col("token").alias("to_token"), F.log(_factor(F.col("u"))).alias("at"))
-        known = total.filter("base").select("kind", F.col("slot").alias("to_slot"), F.col("token").alias("to_token"), F.lit(math.log(1000.0)).alias("at")).unionByName(
-            more.join(total.filter("base").select("kind", F.col("slot").alias("to_slot"), F.col("token").alias("to_token")), kb, "left_anti")
-        )
-    out = total.join(best, keys, "left").select(*keys, "n", "words", "worded", "base", "b.*")
+        more = snapped.select(F.col("notation").alias("to_notation"), F.log(_factor(F.col("u"))).alias("at"))
+        known = bases.unionByName(more.join(bases.select("to_notation"), "to_notation", "left_anti"))
+    out = total.join(best, keys, "left").select(*keys, "slot", "token", "n", "words", "worded", "base", "b.*")
     learned = F.when(F.col("spread") <= SNAP_LOG, _snap(F.col("kind"), F.col("log_scale")))
     learned = F.when(F.col("base"), F.when(F.col("kind") == "weight", "t").otherwise("m")).otherwise(learned)
     out = out.withColumn("learned", learned)
@@ -167,9 +173,10 @@ def converted(loads: DataFrame) -> DataFrame:
     loads: load_row_id, record_id, restriction_type, value_raw, unit_raw, remark. A quantity whose notation has no known unit counts as
     metres or tonnes. Values without a quantity, and types that are no length or weight, give no row; repeated rows are kept.
     """
-    rows = stated(loads)
-    units = materialize(learned_units(rows).select("kind", "slot", "token", "unit"), "units")
-    out = rows.join(small(units), ["kind", "slot", "token"])
+    forms = materialize(stated(loads), "forms")
+    units = learned_units(loads, forms).select("notation", "unit")
+    values = materialize(forms.join(units, "notation").select(*FORM, "slot", "number", "unit"), "values")
+    out = keyed(loads).join(small(values), FORM)
     unit = F.coalesce("unit", F.when(F.col("kind") == "weight", "t").otherwise("m"))
     exact = F.col("number") * _factor(unit, "decimal(13,8)")
     return out.select(
