@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gabarit.llm.leaks import leaks
 from gabarit.llm.linkage import matched
+from gabarit.llm.packing import fill, packed
 from gabarit.llm.personal import personal_spans, replaced
 from gabarit.llm.survivors import survivors
 from gabarit.sources.tables import table
@@ -20,6 +22,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_matches(spark, d).select("objectid", "restriction_id")
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packed(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill(p6_packed(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("verbatim").select("doc_id", "item_id")
+
+
+def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=True)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return personal_spans(table(spark, d, "documents"), table(spark, d, "members"))
 
@@ -40,7 +58,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_survivors(spark, d).select("group_id", pairs).filter("source_id IS NOT NULL")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p5_found, p5_survivors, p8_found, p8_replaced)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p5_found, p5_survivors, p6_packed, p6_fill, p7_found, p7_paraphrases, p8_found, p8_replaced)}
 
 _P5 = r"""
 WITH r AS (SELECT DISTINCT id, restriction_type, regexp_replace(lower(source.reference), '[^a-z0-9]', '', 'g') k, coalesce(s.trust_rank, 2147483647) trust, updated_at,
