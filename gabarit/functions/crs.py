@@ -79,7 +79,8 @@ def itm_to_wgs84(x: float, y: float) -> tuple[float, float]:
 def with_wgs84(df: DataFrame, x: str, y: str, lon: str, lat: str) -> DataFrame:
     """df with columns lon and lat, in degrees, of the eastings and northings x and y; null where either is null.
 
-    Every step is a column of its own: as one nested expression the conversion would repeat its parts thousands of times.
+    Every step is a column of its own: as one nested expression the conversion would repeat its parts thousands of times. The last
+    goes through a generator, so that no filter on the result is pushed below it and unfolds the steps again.
     """
     v = {"x": F.col(x), "y": F.col(y)}
     made = []
@@ -87,4 +88,5 @@ def with_wgs84(df: DataFrame, x: str, y: str, lon: str, lat: str) -> DataFrame:
         made.append(f"__crs_{name}")
         df = df.withColumn(made[-1], f(v))
         v[name] = F.col(made[-1])
-    return df.withColumn(lon, v["out_lon"]).withColumn(lat, v["out_lat"]).drop(*made)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    return df.select(*kept, F.inline(F.array(F.struct(v["out_lon"].alias(lon), v["out_lat"].alias(lat)))))
