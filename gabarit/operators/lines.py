@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gabarit.functions.geo import cells, crossing, haversine_m, point_segment_m
 
-CELL_DEG = 0.005
+CELL_DEG = 0.002
 M_PER_DEG = 111320.0
 
 
