@@ -52,9 +52,9 @@ BEFORE = [
 #: Cues after a private name.
 AFTER = [
     ", a physician in ", " waited ", " and her brother ", " and his brother ", ", who drives ", ", who dr", ", ausweisnummer ", " ist unter ", " hat die verletzten ", ", numéro d'identité", ", numéro d’identité",
-    " has now written ", ", wrote to me from ", " of ",
+    " has now written ", ", wrote to me from ", " has called my office",
 ]
-_AFTER_CHECK = {" waited ": r" waited\s+\d+\s+days\s+at\b", " ist unter ": r" ist unter\s+[+(\d]", " of ": r" of\s+[^.;]{4,50}?\s+has\s+called\s+my", " and her brother ": r" and her brother\s+runs?\b", " and his brother ": r" and his brother\s+runs?\b"}
+_AFTER_CHECK = {" waited ": r" waited\s+\d+\s+days\s+at\b", " ist unter ": r" ist unter\s+[+(\d]", " and her brother ": r" and her brother\s+runs?\b", " and his brother ": r" and his brother\s+runs?\b"}
 
 PHONE_OR_ID = re.compile(r"(?<![\w])(?:\+\d|\(0|\(\d|\d)[\d() ./  ‑\n-]*\d(?!\w)")
 _PHONE = re.compile(
@@ -80,6 +80,11 @@ ADDRESS_FR = re.compile(
 )
 
 
+_DIGIT = re.compile(r"\d")
+_DE_NUMBER = re.compile(r"\.?\s+[1-9]")
+_SPELT_AT = re.compile(r"\s+(?:at|arobase)\s+[\w-]+(?:\.\w|\s+(?:dot|punkt|point)\s|\s*[(\[](?:dot|punkt|point))", re.I)
+
+
 def lower_same(text: str) -> str:
     """Lower case with every code point at its place."""
     low = text.lower()
@@ -121,6 +126,8 @@ def emails(text: str, at: int) -> tuple[int, int, str] | None:
     """The address round the at-sign (or its spelling) that begins at a place, blanks before it included."""
     while at and text[at - 1].isspace():
         at -= 1
+    if text[at].isspace() and text[at + 1 : at + 2].isalpha() and not _SPELT_AT.match(text, at):
+        return None
     sign = AT_SIGN.match(text, at)
     local = sign and re.search(r"[\w.+%-]+$", text[max(0, at - 70) : at])
     domain = local and DOMAIN.match(text, sign.end(), min(len(text), sign.end() + 120))
@@ -133,28 +140,43 @@ def emails(text: str, at: int) -> tuple[int, int, str] | None:
     return at - len(name), domain.end(), "email"
 
 
-def address(text: str, low: str, at: int) -> tuple[int, int, str] | None:
-    """The address whose street word is at a place."""
-    lo, hi = max(0, at - 60), min(len(text), at + 60)
-    for rx in (ADDRESS_EN, ADDRESS_FR, ADDRESS_DE):
-        for m in rx.finditer(text, lo, hi):
-            if m.start() <= at < m.end():
-                return m.start(), m.end(), "street_address"
+def address(text: str, at: int, end: int, kind: str) -> tuple[int, int, str] | None:
+    """The address whose street word is at a place; kind: en, de or fr. What is no whole word, or has no number where the kind has it, is dismissed first."""
+    if kind == "de":
+        if not _DE_NUMBER.match(text, end):
+            return None
+        rx, lo = ADDRESS_DE, max(0, at - 60)
+    else:
+        if not at or not text[at - 1].isspace() or (end < len(text) and text[end].isalnum()):
+            return None
+        if kind == "en" and not text[at].isupper() or not _DIGIT.search(text, max(0, at - 60), at):
+            return None
+        rx, lo = (ADDRESS_EN, max(0, at - 60)) if kind == "en" else (ADDRESS_FR, max(0, at - 30))
+    for m in rx.finditer(text, lo, min(len(text), at + 60)):
+        if m.start() <= at < m.end():
+            return m.start(), m.end(), "street_address"
+        if m.start() > at:
+            break
     return None
 
 
 class Finder:
-    """Anchors in one automaton and the parsers behind them; surnames and given: learned words in lower case; roster: members' names in lower case."""
+    """Anchors in one automaton and the parsers behind them; surnames and given: learned words in lower case; roster: members' names in lower case.
+
+    For learning it knows the cues of names only.
+    """
 
-    def __init__(self, roster: set[str], surnames: frozenset[str] = frozenset(), given: frozenset[str] = frozenset()):
+    def __init__(self, roster: set[str], surnames: frozenset[str] = frozenset(), given: frozenset[str] = frozenset(), learning: bool = False):
         self.members = {tuple(sorted(re.split(r"[\s-]+", n))) for n in roster}
         self.roster = {p for n in self.members for p in n}
         self.surnames, self.given = surnames, given
         payload: dict[str, list] = {}
-        for w in AT_SIGNS:
-            payload.setdefault(w, []).append(("at", None))
-        for w in {*STREET_EN, *STREET_DE, *STREET_FR}:
-            payload.setdefault(w, []).append(("street", None))
+        if not learning:
+            for w in AT_SIGNS:
+                payload.setdefault(w, []).append(("at", None))
+            for k, words in (("en", STREET_EN), ("de", STREET_DE), ("fr", STREET_FR)):
+                for w in words:
+                    payload.setdefault(w, []).append(("street", k))
         for cue, then in BEFORE:
             for c in {cue, cue.replace(" ", "\n", 1) if cue.count(" ") == 1 else cue}:
                 lead = r"\d+:\s+" if cue.startswith("witness") else r"\d+\s+/\s+" if cue == "exhibit " else ""
@@ -179,6 +201,11 @@ class Finder:
             start = end + 1 - len(w)
             if not rx.match(text, start):
                 return None
+            if w == " has called my office":  # the address stands between
+                of = re.search(r"\sof\s[^.;:]{4,50}$", text[max(0, start - 60) : start])
+                if not of:
+                    return None
+                start -= len(of.group())
             left = text[max(0, start - 70) : start]
             cut = max((m.end() for m in re.finditer(r"[!?:;()\[\]\"“”—–]\s*|(?<![^\W\d_])[^\W\d_]{2,}\.\s+|\d[.)]?\s+|,\s+(?=(?:Mr|Mrs|Ms|Dr)\b)", left)), default=0)
             if not cut and start > 70:
@@ -260,7 +287,7 @@ class Finder:
                     if f := emails(text, at):
                         hits.append((0, *f))
                 elif kind == "street":
-                    if f := address(text, low, at):
+                    if f := address(text, at, end + 1, rx):
                         hits.append((2, *f))
                 elif kind == "name":
                     if f := self.widen(text, low, at, end + 1, lang):
@@ -289,7 +316,7 @@ def learned_names(documents: DataFrame, members: DataFrame) -> DataFrame:
     roster = roster_names(members)
 
     def learn(batches):
-        finder = Finder(roster)
+        finder = Finder(roster, learning=True)
         for pdf in batches:
             total = Counter()
             for text in pdf["text"]:
