@@ -69,4 +69,6 @@ u AS (SELECT group_id, 'status' field_name, id, trust, updated_at FROM g WHERE g
   UNION ALL SELECT group_id, 'verified_at', id, trust, updated_at FROM g WHERE group_id < hi AND verified_at IS NOT NULL)
 SELECT group_id, field_name, id source_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust, updated_at DESC NULLS LAST, id) n FROM u) WHERE n = 1
 """
-SQL: dict[str, str] = {"p5_found": _P5}
+_GRAMS = "SELECT DISTINCT {0}, array_to_string(list_slice(w, i, i + 11), ' ') g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) i FROM (SELECT {0}, regexp_extract_all(lower({1}), '[\\p{{L}}\\p{{Nd}}]+') w FROM {2} WHERE {1} IS NOT NULL) WHERE len(w) >= 12)"
+_P7 = f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format('doc_id', 'text', 'documents')}) JOIN ({_GRAMS.format('item_id', 'passage', 'eval_items')}) USING (g)"
+SQL: dict[str, str] = {"p5_found": _P5, "p7_found": _P7}
