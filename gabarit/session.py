@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_CHARACTERS = 200_000, 20_000_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,6 +51,9 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most limit rows, else as it is (a shuffle join follows). df should be a written table: it is counted."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, characters: int = BROADCAST_CHARACTERS) -> DataFrame:
+    """df marked for broadcast if it has at most limit rows with so many characters of text, else as it is (a shuffle join follows). df should be a written table: it is counted."""
+    texts = [F.coalesce(F.length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() == "string"]
+    size = sum(texts, F.lit(0)).cast("long")
+    n, c = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and c <= characters else df
