@@ -202,7 +202,7 @@ class Finder:
             if not rx.match(text, start):
                 return None
             if w == " has called my office":  # the address stands between
-                of = re.search(r"\sof\s[^.;:]{4,50}$", text[max(0, start - 60) : start])
+                of = re.search(r"\sof\s(?:(?!\sof\s)[^.;:\[\]]){4,50}$", text[max(0, start - 60) : start])
                 if not of:
                     return None
                 start -= len(of.group())

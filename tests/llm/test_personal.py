@@ -44,7 +44,7 @@ def test_addresses(text, lang, want):
 
 @pytest.mark.parametrize("text, lang, want", [
     ("I promised Mr Korvel an answer.", "en", ["Korvel"]), ("to Korvel Ltd for", "en", []), ("Die Firma Korvel GmbH", "de", []), ("what happened to mira korvel.", "en", ["mira korvel"]), ("Petition lead: KORVEL Mira; contact", "en", ["KORVEL Mira"]), ("Petition lead: Korvel, Mira; contact", "en", ["Korvel, Mira"]), ("driver was Mira K. Korvel; the", "en", ["Mira K. Korvel"]),
-    ("Exhibit 2 / DAINOV Tolan / 8", "en", ["DAINOV Tolan"]), ("signed Mira Dainov-Korvel, 152", "en", ["Mira Dainov-Korvel"]), ("B. Korvel and", "en", ["B. Korvel"]), ("joindre M. Korvel au", "fr", ["Korvel"]), ("As Mr Berg reminded us", "en", []), ("The driver was Anna Berg; the", "en", []), ("The driver was Mira Berg; the", "en", ["Mira Berg"]), ("a korvel of wood", "en", []), ("Korvelling", "en", []),
+    ("Exhibit 2 / DAINOV Tolan / 8", "en", ["DAINOV Tolan"]), ("signed Mira Dainov-Korvel, 152", "en", ["Mira Dainov-Korvel"]), ("B. Korvel and", "en", ["B. Korvel"]), ("joindre M. Korvel au", "fr", ["Korvel"]), ("As Mr Berg reminded us", "en", []), ("The driver was Anna Berg; the", "en", []), ("The driver was Mira Berg; the", "en", ["Mira Berg"]), ("[End of document] Mrs Korvel of 13a Bell Avenue has called my office", "en", ["Korvel"]), ("a korvel of wood", "en", []), ("Korvelling", "en", []),
 ])
 def test_names(text, lang, want):
     assert [t for t, k in found(text, lang) if k == "name"] == want
