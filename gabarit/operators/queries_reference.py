@@ -9,6 +9,7 @@ from gabarit.functions import geo, polyline, text, timewindows
 from gabarit.functions.crs import with_wgs84
 from gabarit.operators import bridges, lines, osm, rules, store
 from gabarit.plans import views
+from gabarit.plans.reroute import mock, rerouted
 from gabarit.plans.verdicts import corridor_reasons, requests, verdict_counts
 from gabarit.sources.tables import table
 
@@ -136,6 +137,14 @@ def route_verdicts(spark, d):
     return verdict_counts(corridor_reasons(requests(spark, d), views.routes(spark, d), _restrictions(spark, d)))
 
 
+def reroute_outcomes(spark, d):
+    """Each order's route as a straight line of some kilometres, bent round what its vehicle breaks."""
+    v = views.view(spark, d, views.ROUTE_VERTICES, "lineitem").groupBy("route_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"))
+    q = requests(spark, d).join(v, "route_id").withColumn("x2", F.col("x1") + 0.05).withColumn("y2", F.col("y1") + 0.04)
+    out = rerouted(q, _restrictions(spark, d), mock(bulge=0.01, steps=4))
+    return out.select("route_id", "outcome", "reroutes", F.concat_ws(",", "avoided").alias("avoided"), F.concat_ws(",", "conflicts").alias("conflicts"), "verified_on_route", "unverified_on_route")
+
+
 def _restrictions(spark, d):
     r = table(spark, d, "restrictions").filter("geometry IS NOT NULL AND id IS NOT NULL AND (status IS NULL OR status <> 'expired')")
     return r.select("id", "restriction_type", "value_numeric", "value_boolean", "unit", "status", "time_windows", F.transform("geometry.coordinates", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("coords")).distinct()
@@ -286,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bbox_filter, bbox_top_ids, bbox_parse, feature_json, id_lookup, prefix_counts, audit_batch, store_after_batch, audit_changes, audit_last_state, profile_latest, check_violations, schema_violations,
-        violation_summary, vehicle_violations, local_time_parts, active_windows, limit_conflicts, corridor_join, route_lengths, point_at_fraction, route_reasons, route_verdicts, exclusion_rings, round_rings,
+        violation_summary, vehicle_violations, local_time_parts, active_windows, limit_conflicts, corridor_join, route_lengths, point_at_fraction, route_reasons, route_verdicts, reroute_outcomes, exclusion_rings, round_rings,
         marker_positions, envelopes, extent, bent_routes, polyline_roundtrip, itm_positions, parse_heights, month_starts, stable_ids, import_records, import_skips, import_stats, import_warnings,
         osm_class_coverage, osm_tag_counts, osm_structures, osm_regions, osm_units, osm_top_values, osm_buckets, osm_odd_values, osm_newest, osm_bridges_by_kind, bridge_crossings, underpass_summary,
         clearance_counts, bridges_over_roads, audit_stream,
@@ -330,6 +339,19 @@ k AS (SELECT *, {_ACTIVE} active, {_ACTUAL} act, {_FIELD} fld FROM j),
 z AS (SELECT *, CASE WHEN active THEN CASE WHEN fld IS NOT NULL THEN CASE WHEN value_numeric IS NULL THEN NULL WHEN act IS NULL THEN fld || ' not given; limit ' || {_TXT.format("value_numeric")} || ' ' || unit
   WHEN value_numeric < act THEN fld || ' ' || {_TXT.format("act")} || ' > limit ' || {_TXT.format("value_numeric")} || ' ' || unit END
   WHEN restriction_type = 'truck_prohibited' AND value_boolean THEN 'trucks prohibited' WHEN restriction_type = 'hazmat_restriction' AND value_boolean AND hz THEN 'hazmat prohibited and vehicle carries hazmat' END END reason FROM k)"""
+_TAIL = _REASONS[_REASONS.index(_VEHICLES):]
+_LINES = f"""{_V}, o AS (SELECT route_id, min(x) x1, min(y) y1, min(x) + 0.05e0 x2, min(y) + 0.04e0 y2 FROM v GROUP BY ALL),
+p AS (SELECT route_id, bent, i, round(x1 + (x2 - x1) * (i / 4e0) - (y2 - y1) / ln * (sin(pi() * i / 4e0) * b), 6) x, round(y1 + (y2 - y1) * (i / 4e0) + (x2 - x1) / ln * (sin(pi() * i / 4e0) * b), 6) y
+  FROM (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) ln FROM o), (SELECT unnest([0, 1]) bent, unnest([0e0, 0.01e0]) b), (SELECT unnest(range(5)) i)),
+s AS (SELECT route_id * 2 + bent route_id, x x1, y y1, lead(x) OVER w x2, lead(y) OVER w y2 FROM p WINDOW w AS (PARTITION BY route_id, bent ORDER BY i) QUALIFY x2 IS NOT NULL)"""
+_BOTH = "WITH " + _CORRIDOR.replace(_SEGS_ALL, _LINES) + ", " + _TAIL.replace("JOIN q USING (route_id)", "JOIN q ON q.route_id = c.route_id // 2")
+_REROUTE = _BOTH + """, y AS (SELECT route_id // 2 route_id, route_id % 2 bent, list_sort(list(DISTINCT id) FILTER (WHERE reason IS NOT NULL)) ids, count(*) FILTER (WHERE reason IS NULL AND coalesce(status = 'verified', false)) vf,
+  count(*) FILTER (WHERE reason IS NULL AND NOT coalesce(status = 'verified', false)) uv FROM z GROUP BY ALL),
+e AS (SELECT q.route_id, coalesce(a.ids, []) c0, coalesce(b.ids, []) c1, coalesce(a.vf, 0) v0, coalesce(a.uv, 0) u0, coalesce(b.vf, 0) v1, coalesce(b.uv, 0) u1 FROM q JOIN vg USING (vehicle_no) JOIN o USING (route_id)
+  LEFT JOIN y a ON a.route_id = q.route_id AND a.bent = 0 LEFT JOIN y b ON b.route_id = q.route_id AND b.bent = 1)
+SELECT route_id, CASE WHEN len(c0) = 0 OR len(c1) = 0 THEN 'clear' ELSE 'no_effect' END outcome, CASE WHEN len(c0) = 0 THEN 0 WHEN len(list_filter(c1, lambda k: NOT list_contains(c0, k))) = 0 THEN 1 ELSE 2 END reroutes,
+ CASE WHEN len(c0) = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_concat(c0, c1))), ',') END avoided, CASE WHEN len(c0) = 0 THEN '' ELSE array_to_string(c1, ',') END conflicts,
+ CASE WHEN len(c0) = 0 THEN v0 ELSE v1 END verified_on_route, CASE WHEN len(c0) = 0 THEN u0 ELSE u1 END unverified_on_route FROM e"""
 _T, _D, _W, _B = (", ".join(f"'{x}'" for x in xs) for xs in (rules.TYPES, rules.DIMENSIONS, rules.WEIGHTS, rules.BANS))
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _CHECKS = {
@@ -441,6 +463,7 @@ f AS (SELECT *, 0.4e0 * total - (upto - dd) lft FROM u WHERE upto >= 0.4e0 * tot
 SELECT route_id, round(x1 + (x2 - x1) * t, 6) lon, round(y1 + (y2 - y1) * t, 6) lat FROM (SELECT *, CASE WHEN dd > 0 THEN least(lft / dd, 1e0) ELSE 0e0 END t FROM f)""",
     "route_reasons": f"{_REASONS} SELECT route_id, profile_name, id, reason, active FROM z",
     "route_verdicts": f"{_REASONS} SELECT route_id, count(reason) conflicts, count(*) FILTER (WHERE reason IS NULL AND coalesce(status = 'verified', false)) verified_on_route, count(*) FILTER (WHERE reason IS NULL AND NOT coalesce(status = 'verified', false)) unverified_on_route FROM z GROUP BY ALL",
+    "reroute_outcomes": _REROUTE,
     "exclusion_rings": f"""WITH m AS ({_MID}), p AS (SELECT id, m[1] x, m[2] y, 20e0 / 111320e0 dy, 20e0 / 111320e0 / cos(radians(m[2])) dx FROM m), k AS (SELECT unnest([0, 1, 2, 3, 4]) corner, unnest([-1, 1, 1, -1, -1]) sx, unnest([-1, -1, 1, 1, -1]) sy)
 SELECT id, corner, round(x + dx * sx, 7) x, round(y + dy * sy, 7) y FROM p, k""",
     "round_rings": f"""WITH m AS ({_MID}), p AS (SELECT id, m[1] x, m[2] y, 20e0 / 111320e0 dy, 20e0 / 111320e0 / cos(radians(m[2])) dx FROM m)
