@@ -30,16 +30,17 @@ CHUNK = 1 << 19  # characters hashed at once
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_word_table: np.ndarray | None = None
 
 
-def _is_word() -> np.ndarray:
-    global _word_table
-    if _word_table is None:
-        import unicodedata
+def _is_word(codes: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter or a digit; only the code points that occur are looked up."""
+    import unicodedata
 
-        _word_table = np.fromiter((unicodedata.category(chr(c))[0] == "L" or unicodedata.category(chr(c)) == "Nd" for c in range(0x110000)), dtype=bool, count=0x110000)
-    return _word_table
+    table = np.bincount(codes).astype(bool) if len(codes) else np.zeros(1, bool)
+    for c in np.flatnonzero(table).tolist():
+        kind = unicodedata.category(chr(c))
+        table[c] = kind[0] == "L" or kind == "Nd"
+    return table[codes]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -52,7 +53,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = "\n".join(texts)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    inside = np.concatenate([[False], _is_word()[codes], [False]])
+    inside = np.concatenate([[False], _is_word(codes), [False]])
     edge = np.diff(inside.astype(np.int8))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
