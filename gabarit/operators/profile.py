@@ -210,7 +210,8 @@ def load_profile(loads: DataFrame) -> DataFrame:
     loads = loads.filter(F.col("load_id").isNotNull())
     counts = materialize(value_counts(loads), "value-counts")
     shapes = materialize(shape_counts(counts), "shape-counts")
-    coverage = expression_coverage(shapes, induce_expressions(shapes))
+    expressions = materialize(induce_expressions(shapes), "expressions")
+    coverage = expression_coverage(shapes, small(expressions))
     keys = ["load_id", "column_name"]
     covered = coverage.groupBy(*keys).agg(
         F.sum(F.when(F.col("readable_form"), F.col("exact")).otherwise(0)).alias("readable"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gabarit.operators.profile import expression_coverage, induce_expressions, load_findings, load_profile, shape_counts, value_counts
 from gabarit.operators.spatial import located, near_pairs
 from gabarit.operators.units import BASE, converted, learned_units, stated
-from gabarit.session import materialize
+from gabarit.session import materialize, small
 from gabarit.sources.tables import table
 
 NEAR_M = 30.0
@@ -25,7 +25,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_expressions(spark: SparkSession, d: str) -> DataFrame:
     shapes = materialize(shape_counts(value_counts(table(spark, d, "restriction_loads"))), "shape-counts")
-    return expression_coverage(shapes, induce_expressions(shapes)).select("load_id", "column_name", "expression", "conforming", "rows")
+    return expression_coverage(shapes, small(materialize(induce_expressions(shapes), "expressions"))).select("load_id", "column_name", "expression", "conforming", "rows")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
