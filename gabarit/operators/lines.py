@@ -69,12 +69,16 @@ def crossings(bridges: DataFrame, roads: DataFrame) -> DataFrame:
     a = with_cells(segments(bridges, "way_id", "coords")).join(bridges.select("way_id", "layer"), "way_id")
     a = a.select(F.col("way_id").alias("bridge_id"), F.col("seg").alias("bs"), F.col("layer").alias("bl"), "cx", "cy", *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")])
     b = with_cells(segments(roads, "way_id", "coords")).join(roads.select("way_id", "layer"), "way_id").withColumnRenamed("way_id", "road_id").withColumnRenamed("seg", "rs")
-    at = crossing(tuple(F.col(f"b{c}") for c in ("x1", "y1", "x2", "y2")), tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")))
-    met = a.join(b, ["cx", "cy"]).filter(F.col("layer") < F.col("bl")).withColumn("at", at).filter(F.col("at").isNotNull())
-    pairs = met.groupBy("bridge_id", "road_id").agg(F.min_by("at", F.struct("rs", "bs")).alias("at"))
+    p, q = tuple(F.col(f"b{c}") for c in ("x1", "y1", "x2", "y2")), tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    near = 1e-9  # degrees; ends that only touch are left to the exact test
+    box = lambda i: (F.greatest(p[i], p[i + 2]) >= F.least(q[i], q[i + 2]) - near) & (F.least(p[i], p[i + 2]) <= F.greatest(q[i], q[i + 2]) + near)
+    met = a.join(b, ["cx", "cy"]).filter((F.col("layer") < F.col("bl")) & box(0) & box(1)).withColumn("at", crossing(p, q)).filter(F.col("at").isNotNull())
+    # order and place as plain numbers, so that pairs are combined in a hash table
+    met = met.select("bridge_id", "road_id", (F.shiftleft(F.col("rs").cast("long"), 32) + F.col("bs")).alias("k"), F.col("at.x").alias("x"), F.col("at.y").alias("y"))
+    pairs = met.groupBy("bridge_id", "road_id").agg(F.min_by("x", "k").alias("x"), F.min_by("y", "k").alias("y"))
     nodes = lambda df, k: df.select(F.col("way_id").alias(f"{k}_id"), F.col("nodes").alias(f"{k}_nodes"))
     pairs = pairs.join(nodes(bridges, "bridge"), "bridge_id").join(nodes(roads, "road"), "road_id")
-    return pairs.filter(~F.coalesce(F.arrays_overlap("bridge_nodes", "road_nodes"), F.lit(False))).select("bridge_id", "road_id", F.col("at.x").alias("x"), F.col("at.y").alias("y"))
+    return pairs.filter(~F.coalesce(F.arrays_overlap("bridge_nodes", "road_nodes"), F.lit(False))).select("bridge_id", "road_id", "x", "y")
 
 
 def lengths(lines: DataFrame, key: str = "route_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gabarit.functions.geo import haversine_m, in_ring
 from gabarit.functions.text import COVERAGE_CLASSES, CROSSING_CLASSES, NON_ROADS, NOT_CROSSED, clearance_bucket, coverage_bucket, layer_of, road_class, tagged_height
 from gabarit.operators.lines import crossings
+from gabarit.session import materialize
 
 #: Tags that are counted, and rough outlines of two regions as (lon, lat).
 COUNTED_TAGS = ("maxheight", "maxheight:physical", "maxwidth", "maxlength", "maxweight", "maxaxleload", "hgv", "hazmat")
@@ -114,7 +115,7 @@ def underpasses(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     source: way_tag, or node_within_30m for the first of the road's nodes with a height tag in that distance, else null. height: its parsed value.
     """
     b, r = bridge_ways(ways), under_roads(ways)
-    met = crossings(b, r).join(b.select(F.col("way_id").alias("bridge_id"), "kind"), "bridge_id").join(r.select(F.col("way_id").alias("road_id"), "class", height_tag().alias("tagged")), "road_id")
+    met = materialize(crossings(b, r), "crossings").join(b.select(F.col("way_id").alias("bridge_id"), "kind"), "bridge_id").join(r.select(F.col("way_id").alias("road_id"), "class", height_tag().alias("tagged")), "road_id")
     tagged = nodes.select("node_id", height_tag().alias("node_tag"), "lon", "lat").filter("node_tag IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL")
     along = r.select(F.col("way_id").alias("road_id"), F.posexplode("nodes").alias("pos", "node_id")).join(tagged, "node_id")
     near = met.filter("tagged IS NULL").join(along, "road_id").filter(haversine_m(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")) <= NODE_RADIUS_M)
