@@ -1,11 +1,13 @@
-"""Test passages in documents: latent semantic retrieval, then exact checks.
+"""Test passages in documents: latent semantic retrieval, then exact checks; paraphrases by exact bounds.
 
 1. Features are the three-word shingles of the test passages, weighted by their rarity over all documents (a pass over the corpus).
 2. For each block of test items a randomised SVD of their TF-IDF rows gives a latent space; its rank is that of the block, so that the
    space holds every passage and a cosine in it is never below the plain cosine.
 3. Every document is cut into passages of 32 words, each beginning 16 words after the last; passages with any feature are folded into the
    space, and items within a cosine are candidates. A run of 12 words lies in one passage whole, and brings 10 features of the item.
-4. Candidates are checked: a run of 12 words in common; for paraphrases the longest common subsequence and the answer.
+4. Candidates are checked for a run of 12 words in common.
+5. Paraphrases may share no three words in a row, so they are not sought in the space: of each document that holds an item's answer,
+   every passage with enough of the item's words, in any order, is checked for the longest common subsequence. Nothing that passes is missed.
 
 Words are hashed as whole arrays of characters, never one by one. Nothing is shuffled but counts and results.
 """
@@ -13,6 +15,7 @@ Words are hashed as whole arrays of characters, never one by one. Nothing is shu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,7 @@ RUN = 12
 SHINGLE = 3
 WIDTH, STEP = 32, 16
 COSINE = 0.08
-PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.35, 0.6
+PARAPHRASE_SHARE = 0.6
 BLOCK = 256  # items of one latent space
 BLOCKS_AT_ONCE = 4  # spaces that the executors hold at once; more blocks take more passes over the documents
 CHUNK = 1 << 19  # characters hashed at once
@@ -174,7 +177,7 @@ def latent_space(items: DataFrame, idf_of: tuple[np.ndarray, np.ndarray]) -> lis
         out.append({
             "items": np.frombuffer(r["items"], np.int64), "feats": np.frombuffer(r["feats"], np.uint64), "idf": np.frombuffer(r["idf"], np.float32),
             "v": np.frombuffer(r["v"], np.float32).reshape(-1, r["rank"]), "z": z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9), "runs": key,
-            "words": [words[a:b] for a, b in zip([0, *ends[:-1]], ends)],
+            "words": (own := [words[a:b] for a, b in zip([0, *ends[:-1]], ends)]), "vocabulary": [np.unique(w, return_counts=True) for w in own],
         })
     return out
 
@@ -192,8 +195,8 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def search(space: dict, h: np.ndarray, doc: np.ndarray, paraphrases: bool) -> Iterator[tuple[int, int, float, bool, float]]:
-    """(text, item, cosine, verbatim, share) of one space in hashed texts; share: of the passage's words in a common subsequence, where asked for."""
+def search(space: dict, h: np.ndarray, doc: np.ndarray, shares: bool) -> Iterator[tuple[int, int, float, bool, float]]:
+    """(text, item, cosine, verbatim, share) of the verbatim passages of one space in hashed texts; share: of the passage's words in a common subsequence, where asked for."""
     f = space["feats"]
     g, ok = runs_of(h, doc, SHINGLE)
     if not len(f) or not len(g):
@@ -232,21 +235,66 @@ def search(space: dict, h: np.ndarray, doc: np.ndarray, paraphrases: bool) -> It
                 key = r12[offs] ^ _mix(item.astype(np.uint64) + np.uint64(77))[:, None]
             there = np.minimum(np.searchsorted(space["runs"], key), len(space["runs"]) - 1)
             verbatim = ((space["runs"][there] == key) & legal & ok12[offs] & (doc[offs] == doc[s][:, None])).any(axis=1)
-        keep = verbatim | ((cos[w, item] >= PARAPHRASE_COSINE) if paraphrases else False)
-        for k in np.flatnonzero(keep):
+        for k in np.flatnonzero(verbatim):
             share = 0.0
-            if paraphrases:
+            if shares:
                 d = doc[s[k]]
                 stop = min(s[k] + WIDTH, first[d + 1] if d + 1 < len(first) else len(h))
                 share = common_subsequence(space["words"][item[k]], h[s[k] : stop]) / max(1, min(len(space["words"][item[k]]), stop - s[k]))
             yield int(doc[s[k]]), int(item[k]), float(cos[w[k], item[k]]), bool(verbatim[k]), share
 
 
+def _cosine(space: dict, h: np.ndarray, item: int) -> float:
+    """Cosine in the space of one passage, as words, with an item; 0 without a common feature."""
+    f, g = space["feats"], runs_of(h, np.zeros(len(h), np.int64), SHINGLE)[0]
+    at = np.searchsorted(f, g[np.isin(g, f)])
+    z = (space["v"][at] * space["idf"][at, None]).sum(axis=0)
+    return float(z @ space["z"][item] / max(float(np.linalg.norm(z)), 1e-9))
+
+
+def paraphrased(space: dict, h: np.ndarray, doc: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, float, bool, float]]:
+    """(text, item, cosine, False, share) of the best passage of each text that holds an item's answer, where its share is enough.
+
+    A common subsequence is no longer than the words in common, each as often as both have it: passages with too few are left out
+    unchecked, no others. The last passage ends with its text, and is as wide as the others unless the text is shorter.
+    """
+    by_answer: dict[str, list[int]] = {}
+    for k, answer in enumerate(space["answers"]):
+        if answer and len(space["words"][k]) >= SHINGLE:
+            by_answer.setdefault(answer, []).append(k)
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for d, text in enumerate(texts):
+        own = h[bounds[d] : bounds[d + 1]]
+        held = [k for answer, items in by_answer.items() if answer in text for k in items]
+        if not held or not len(own):
+            continue
+        width = min(WIDTH, len(own))
+        starts = np.unique(np.append(np.arange(0, len(own) - width + 1, STEP), len(own) - width))
+        for k in held:
+            words, (known, often) = space["words"][k], space["vocabulary"][k]
+            whole = min(len(words), width)
+            need = PARAPHRASE_SHARE * whole - 1e-9
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            at = np.where(known[at] == own, at, -1)
+            upto = np.concatenate([[0], np.cumsum(at >= 0)])
+            some = starts[upto[starts + width] - upto[starts] >= need]
+            if not len(some):
+                continue
+            rows = np.sort(at[some[:, None] + np.arange(width)], axis=1)
+            place = np.arange(width)
+            begins = np.concatenate([np.ones((len(rows), 1), bool), rows[:, 1:] != rows[:, :-1]], axis=1)
+            nth = place - np.maximum.accumulate(np.where(begins, place, 0), axis=1)
+            some = some[((rows >= 0) & (nth < often[rows])).sum(axis=1) >= need]
+            best, where = max(((common_subsequence(words, own[s : s + width]), -int(s)) for s in some), default=(0, 0))
+            if best >= need:
+                yield d, k, _cosine(space, own[-where : width - where], k), False, best / whole
+
+
 def leaks(documents: DataFrame, items: DataFrame, paraphrases: bool = False) -> DataFrame:
     """(doc_id, item_id, cosine, verbatim, share, answered): documents with passages of test items, each pair once.
 
-    verbatim: RUN words in a row in common. With paraphrases also pairs whose best passage has at least PARAPHRASE_SHARE of its words in a
-    common subsequence with the item's and whose document holds the item's answer. Null and empty texts, and items of fewer words than a
+    verbatim: RUN words in a row in common. With paraphrases also all pairs whose best passage has at least PARAPHRASE_SHARE of its words
+    in a common subsequence with the item's and whose document holds the item's answer; their cosine may be 0. Null and empty texts, and items of fewer words than a
     shingle, have no pairs; repeated documents and items count once. Documents of any length are searched whole.
     """
     spark = documents.sparkSession
@@ -275,7 +323,7 @@ def leaks(documents: DataFrame, items: DataFrame, paraphrases: bool = False) ->
                     if not len(h):
                         continue
                     for space in shared.value:
-                        for d, i, cos, verbatim, share in search(space, h, doc, paraphrases):
+                        for d, i, cos, verbatim, share in chain(search(space, h, doc, paraphrases), paraphrased(space, h, doc, texts) if paraphrases else ()):
                             answer = space["answers"][i]
                             row = [cos, verbatim, share, bool(answer) and answer in texts[d]]
                             key = (int(ids[d]), int(space["items"][i]))

@@ -65,6 +65,30 @@ def test_paraphrases_and_empty(spark):
     assert leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], ITEMS)).count() == 0
 
 
+def test_paraphrases_against_brute_force(spark):
+    rng = random.Random(5)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    items = [(k, "s", "q", " ".join(say(rng.choice([8, 30, 45, 60]))), f"answer {k % 7}") for k in range(30)]
+    docs = []
+    for k in range(200):
+        words = [f"x{rng.randrange(900)}" for _ in range(rng.choice([0, 9, 50, 200]))]
+        item = items[rng.randrange(30)]
+        part = [w if j % rng.choice([3, 3, 4]) else "other" for j, w in enumerate(item[3].split())]  # hardly three words in a row are left
+        at = rng.choice([0, len(words) // 16 * 16, len(words)])
+        docs.append((k, " ".join(words[:at] + part + words[at:] + [item[4] if rng.random() < 0.7 else "none"])))
+    want = {}
+    for d, t in docs:
+        v = words_of([t])[0]
+        width = min(32, len(v))
+        for i, _, _, p, a in items:
+            w = words_of([p])[0]
+            share = max(common_subsequence(w, v[s : s + width]) for s in {*range(0, len(v) - width + 1, 16), len(v) - width}) / min(len(w), width)
+            if a in t and share >= 0.6:
+                want[d, i] = share
+    got = {(r.doc_id, r.item_id): r.share for r in leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), paraphrases=True).collect() if not r.verbatim}
+    assert len(want) > 50 and got == want
+
+
 def test_words_and_subsequences():
     h, doc = words_of(["one two", "", "two, one-two"])
     assert doc.tolist() == [0, 0, 2, 2, 2] and h[1] == h[2] == h[4] and h[0] == h[3] != h[1]
