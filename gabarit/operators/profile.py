@@ -173,6 +173,31 @@ def expression_coverage(shapes: DataFrame, expressions: DataFrame) -> DataFrame:
     )
 
 
+def coverage_changes(coverage: DataFrame, loads: DataFrame) -> DataFrame:
+    """(load_id, column_name, expression, conforming, rows, rows_before, filled, filled_before, nonconforming, nonconforming_before, change): each load's coverage against the load before.
+
+    coverage: as expression_coverage gives it. An expression that only the load before has counts 0 rows. filled, nonconforming: of the
+    load and column. change: of the expression's share of the filled rows, null if either share is undefined. What regards the load
+    before (the same feed's next lower load_no, ties by load_id) is null where there is none.
+    """
+    keys = ["load_id", "column_name", "expression", "conforming"]
+    known = loads.filter("load_id IS NOT NULL").groupBy("load_id").agg(F.min("feed_name").alias("feed_name"), F.min("load_no").alias("load_no")).filter("feed_name IS NOT NULL AND load_no IS NOT NULL")
+    before = known.select("load_id", F.lag("load_id").over(Window.partitionBy("feed_name").orderBy("load_no", "load_id")).alias("before")).filter("before IS NOT NULL")
+    before = materialize(before, "loads-before")
+    now = materialize(coverage.groupBy(*keys).agg(F.sum("rows").alias("rows")), "coverage")
+    past = now.select(F.col("load_id").alias("before"), *keys[1:], F.lit(0).cast("long").alias("rows"), F.col("rows").alias("rows_before")).join(small(before), "before").drop("before")
+    both = now.withColumn("rows_before", F.lit(0).cast("long")).unionByName(past).groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("rows_before").alias("rows_before"))
+    both = both.join(small(before), "load_id", "left")
+    of_load = lambda c: F.sum(c).over(Window.partitionBy("load_id", "column_name"))
+    open_rows = lambda c: F.when(F.col("conforming"), 0).otherwise(F.col(c))
+    for c in ("rows", "rows_before"):
+        both = both.withColumn(c.replace("rows", "filled"), of_load(F.col(c))).withColumn(c.replace("rows", "nonconforming"), of_load(open_rows(c)))
+    last = lambda c: F.when(F.col("before").isNotNull(), F.col(c)).alias(c)
+    share = lambda part, whole: F.try_divide(F.col(part), F.col(whole))
+    change = F.when(F.col("before").isNotNull(), share("rows", "filled") - share("rows_before", "filled_before"))
+    return both.select(*keys, "rows", last("rows_before"), "filled", last("filled_before"), "nonconforming", last("nonconforming_before"), change.alias("change"))
+
+
 def exact_medians(counts: DataFrame) -> DataFrame:
     """(load_id, column_name, median): exact, the mean of the middle two if even.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gabarit.operators.profile import expression_coverage, induce_expressions, load_findings, load_profile, shape_counts, value_counts
+from gabarit.operators.profile import coverage_changes, expression_coverage, induce_expressions, load_findings, load_profile, shape_counts, value_counts
 from gabarit.operators.spatial import located, near_pairs
 from gabarit.operators.units import BASE, converted, learned_units, stated
 from gabarit.session import materialize, small
@@ -24,8 +24,9 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_expressions(spark: SparkSession, d: str) -> DataFrame:
-    shapes = materialize(shape_counts(value_counts(table(spark, d, "restriction_loads"))), "shape-counts")
-    return expression_coverage(shapes, small(materialize(induce_expressions(shapes), "expressions"))).select("load_id", "column_name", "expression", "conforming", "rows")
+    loads = table(spark, d, "restriction_loads")
+    shapes = materialize(shape_counts(value_counts(loads)), "shape-counts")
+    return coverage_changes(expression_coverage(shapes, small(materialize(induce_expressions(shapes), "expressions"))), loads)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from gabarit.operators.profile import expression_coverage, induce_expressions, load_findings, load_profile, readable_instant, readable_number, shape_counts, value_counts
+from gabarit.operators.profile import coverage_changes, expression_coverage, induce_expressions, load_findings, load_profile, readable_instant, readable_number, shape_counts, value_counts
 
 COLUMNS = "load_id long, feed_name string, load_no int, restriction_type string, value_raw string, review_due_at_raw string"
 
@@ -67,3 +67,15 @@ def test_expressions_choose_the_shorter_description(spark):
     assert not e["see sign"]["conforming"]
     covered = expression_coverage(shapes, induce_expressions(shapes)).agg(F.sum("rows")).first()[0]
     assert covered == len(rows)
+
+
+def test_coverage_is_compared_with_the_load_before(spark):
+    rows = [(1, "a", 1, "max_height", v, None) for v in ["4.2"] * 6 + ["5.1"] * 2 + ["4 m", "?"]] + [(2, "a", 3, "max_height", v, None) for v in ["4.2"] * 2 + ["4 m"] * 2] + [(3, "b", 2, "max_height", "4.2", None), (4, "a", 4, "max_height", None, None)]
+    loads = spark.createDataFrame(rows, COLUMNS)
+    shapes = shape_counts(value_counts(loads))
+    expressions = spark.createDataFrame([("value_raw", "9.9", "9.9", "N", True), ("value_raw", "9 m", "9 m", "M", False), ("value_raw", "?", "?", "Q", False)], "column_name string, shape string, form string, expression string, conforming boolean")
+    got = {(r.load_id, r.expression): tuple(r)[4:] for r in coverage_changes(expression_coverage(shapes, expressions), loads).collect()}
+    assert got == {
+        (1, "N"): (8, None, 10, None, 2, None, None), (1, "M"): (1, None, 10, None, 2, None, None), (1, "Q"): (1, None, 10, None, 2, None, None), (3, "N"): (1, None, 1, None, 0, None, None),
+        (2, "N"): (2, 8, 4, 10, 2, 2, 0.5 - 0.8), (2, "M"): (2, 1, 4, 10, 2, 2, 0.5 - 0.1), (2, "Q"): (0, 1, 4, 10, 2, 2, 0.0 - 0.1), (4, "N"): (0, 2, 0, 4, 0, 2, None), (4, "M"): (0, 2, 0, 4, 0, 2, None),
+    }
