@@ -146,9 +146,8 @@ def induce_expressions(shapes: DataFrame) -> DataFrame:
     )
     chosen = by.join(forms.select("column_name", "frame", "form", "as_shapes", "as_form"), ["column_name", "frame", "form"]).join(frames, ["column_name", "frame"])
     escaped = lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    fixed = F.regexp_replace(F.regexp_replace(escaped(F.col("shape")), "(9+)", "<$1>"), "<9>", r"[0-9]")
-    for k in range(2, 21):  # the length of each digit run
-        fixed = F.regexp_replace(fixed, f"<9{{{k}}}>", f"[0-9]{{{k}}}")
+    run = lambda t: F.when(t == "9", "[0-9]").when(t.startswith("9"), F.concat(F.lit("[0-9]{"), F.length(t), F.lit("}"))).otherwise(escaped(t))
+    fixed = F.array_join(F.transform(F.regexp_extract_all(F.col("shape"), F.lit("(9+|[^9]+)"), F.lit(1)), run), "")
     open_digits = F.regexp_replace(escaped(F.col("form")), "9", r"[0-9]+")
     open_all = F.regexp_replace(F.regexp_replace(escaped(F.col("frame")), "9", r"[0-9]+"), r"\p{L}+", r"\\p{L}+")
     level = F.when(F.col("as_frame") < F.col("as_forms"), 2).when(F.col("as_form") < F.col("as_shapes"), 1).otherwise(0)

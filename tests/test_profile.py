@@ -1,4 +1,5 @@
 import random
+import re
 from statistics import median
 
 import pytest
@@ -79,3 +80,12 @@ def test_coverage_is_compared_with_the_load_before(spark):
         (1, "N"): (8, None, 10, None, 2, None, None), (1, "M"): (1, None, 10, None, 2, None, None), (1, "Q"): (1, None, 10, None, 2, None, None), (3, "N"): (1, None, 1, None, 0, None, None),
         (2, "N"): (2, 8, 4, 10, 2, 2, 0.5 - 0.8), (2, "M"): (2, 1, 4, 10, 2, 2, 0.5 - 0.1), (2, "Q"): (0, 1, 4, 10, 2, 2, 0.0 - 0.1), (4, "N"): (0, 2, 0, 4, 0, 2, None), (4, "M"): (0, 2, 0, 4, 0, 2, None),
     }
+
+
+def test_fixed_expressions_match_their_own_values(spark):
+    texts = ["1" * 20, "2" * 21, "a" + "3" * 300 + ".5", "<77>", "<7>(x)\n12"]
+    df = spark.createDataFrame([("value_raw", t) for t in texts], "column_name string, text string")
+    shapes = df.select("column_name", F.regexp_replace("text", "[0-9]", "9").alias("shape"), F.lit(1000).alias("distincts"))
+    e = {r["shape"]: r["expression"] for r in induce_expressions(shapes).collect()}
+    assert all(re.fullmatch(e[re.sub("[0-9]", "9", t)], t) for t in texts)
+    assert e["9" * 21] == "[0-9]{21}" and e["<99>"] == "<[0-9]{2}>"
