@@ -1,10 +1,14 @@
 """Personal details in free text: found by anchors, expanded and checked locally, and replaced by typed placeholders.
 
-One Aho-Corasick automaton finds the anchors (at-signs and their spellings, street words, cues of identity, learned names), all in one
-pass over a text whatever their number; digits are anchors of their own. A deterministic parser expands each anchor to both sides and
-checks what it finds. Private names are learned first: over all documents the cues that introduce a private person give surnames and
-first names, less the roster of members; in a second pass every mention of a learned surname is an anchor, so that a surname
-alone is found in documents that never introduce it.
+One Aho-Corasick automaton finds the anchors (at-signs and their spellings, street words, personal titles, learned surnames), all in
+one pass over a text whatever their number; digits are anchors of their own. A deterministic parser expands each anchor to both sides,
+as far as its grammar goes, and checks what it finds.
+
+Names are learned first, over all documents and from their surroundings alone: a title before a word, a full name in the sentence of
+an address, phone, identity number or email that was found and checked, or a common first name before a word. A word is a private surname
+if a large enough share of its uses stands so (towns and companies share their letters with people, but not these places), less the
+roster of members. In a second pass every mention of a learned surname is an anchor, so that a surname alone is found in documents that
+never introduce it. A surname of a member is an anchor too: with a private first name that no member of that name has, it is a private person.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import ahocorasick
 import pandas as pd
@@ -29,32 +34,29 @@ STREET_DE = ["straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ri
 STREET_FR = ["rue", "avenue", "chemin", "impasse", "boulevard", "allée", "place", "quai", "route", "passage", "sentier", "cours"]
 AT_SIGNS = ["@", "(at)", "[at]", "(ät)", " at ", "\nat ", " at\n", " arobase "]
 COMPANY = r"(?:Ltd|Limited|GmbH|SARL|AG|Inc|plc|PLC|LLC|LLP|SA|KG|OHG|SAS|& Co)\b"
-TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr\.?|Prof\.?|Herrn|Herr|Frau|Mme|Mlle|M\.|Monsieur|Madame|docteur)"
+TITLES = ["mrs", "mr", "ms", "miss", "dr", "prof", "herrn", "herr", "frau", "mme", "mlle", "monsieur", "madame", "docteur"]
+#: Offices that are addressed like a name.
+OFFICES = ["president", "minister", "speaker", "chairman", "chair", "secretary", "chancellor", "präsident", "präsidentin", "ministerin", "vorsitzender", "vorsitzende", "kanzler", "kanzlerin", "kollege", "kollegin", "président", "présidente", "ministre", "rapporteur", "député", "députée", "collègue"]
+#: Common first names of the three languages, a first hint where nothing is learned yet.
+FIRST_NAMES = {
+    "en": ["alice", "andrew", "anne", "charles", "david", "edward", "elizabeth", "emma", "george", "helen", "henry", "james", "jane", "john", "margaret", "mary", "michael", "paul", "peter", "richard", "robert", "sarah", "susan", "thomas", "walter", "william"],
+    "de": ["andreas", "birgit", "christian", "dieter", "fritz", "hans", "heinrich", "ingrid", "jürgen", "karin", "karl", "klaus", "monika", "otto", "petra", "sabine", "stefan", "ursula", "werner", "wolfgang"],
+    "fr": ["catherine", "claire", "françois", "hélène", "henri", "isabelle", "jacques", "jean", "julie", "louis", "marie", "michel", "monique", "nathalie", "nicole", "philippe", "pierre", "rené", "sophie", "sylvie"],
+}
+#: Articles, prepositions and the like, which no name begins with.
+ARTICLES = ["the", "a", "an", "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "le", "la", "les", "un", "une", "du", "au", "aux"]
+SMALL_WORDS = [*ARTICLES, "of", "in", "on", "at", "by", "to", "for", "from", "with", "and", "or", "but", "as", "if", "no", "this", "that", "my", "his", "her", "im", "am", "auch", "und", "von", "mit", "et", "ce", "cette", "sa", "son", "ses", "que", "qui"]
+NEAR_SHARE = 0.1  # of a word's uses, from which full names beside other details make it a surname
+TITLED_SHARE = 0.02  # and titles
+FIRST_SHARE = 0.1  # and places before a surname make it a first name
 
 _W = r"[^\W\d_]+(?:['’][^\W\d_]+)*(?:-[^\W\d_]+)*"
-_NAME = rf"(?:{_W},\s+{_W}(?:\s+[^\W\d_]\.)?|(?:(?:{_W}|[^\W\d_]\.)\s+){{0,3}}{_W})"
-NAME_ONLY = re.compile(_NAME)
-
-#: Cues before a private name, with what must follow it.
-BEFORE = [
-    ("promised ", r"\s+an\s+answer"), ("neighbour ", r"\s+lost\b"), ("petition lead: ", r";"), ("from the gallery, ", r"\s*:"),
-    ("driver was ", r"\s*;"), ('signed "yours, ', r'"'), ("signed “yours, ", r"”"), ("letter is signed ", r",\s"), ("late friend ", r"\s+kept\b"),
-    ("widow of ", r"\s+still\b"), ("citizen number of ", r"\s+and\s+got\b"), ("register shows ", r"\s+at\b"), ("belongs to ", r"\s*[.,;]"), ("die gehört ", r"\s*[.,;]"), ("celui de ", r"\s*[.,;]"), ("appartient à ", r"\s*[.,;]"),
-    ("but the teacher, ", r",\s"), ("may check with ", r"\s+on\b"), ("one petitioner, ", r",\s"), ("claim of ", r"\s*\("), ("what happened to ", r"\s*[.,;]"),
-    ("nurse on duty, ", r",\s"), ("the form: name ", r",\s+residence\b"), ("form: name ", r",\s+residence\b"), ("auch herrn ", r"\s+hat\b"), ("auch frau ", r"\s+hat\b"),
-    ("bürgerin, frau ", r",\s+wohnhaft\b"), ("bürger, herr ", r",\s+wohnhaft\b"), ("den namen ", r",\s+Ausweis"), ("am steuer saß ", r"\s+aus\b"),
-    ("der petent ", r"\s+wohnt\b"), ("die petentin ", r"\s+wohnt\b"), ("unterschrieben von ", r",\s"), ("von der tribüne, ", r"\s*:"), ("répondre à ", r"\s*\?"),
-    ("le docteur ", r"\s+a\s+soigné"), ("peut joindre ", r"\s+au\b"), ("depuis la tribune, ", r"\s*:"), ("été refusée à ", r"\s*\."), ("volant se trouvait ", r",\s+de\b"),
-    ("habitante, ", r",\s+demeurant\b"), ("habitant, ", r",\s+demeurant\b"), ("le nom de ", r",\s+numéro"), ("signataire ", r"\s+habite\b"), ("pétitionnaire ", r"\s+habite\b"),
-    ("signé ", r",\s+\d"), ("kontakt: ", r",\s+\S+\s?(?:@|\(at\)|\[at\]|at\s)"), ("contact : ", r",\s+\S+\s?(?:@|\(at\)|\[at\]|at\s)"), ("contact: ", r",\s+\S+\s?(?:@|\(at\)|\[at\]|at\s)"),
-    ("witness statement no. ", r",\s+\S+\s?(?:@|\(at\)|\[at\]|at\s)"), ("exhibit ", r"\s+/\s+\d"), ("constituent, ", r",\s+wrote\b"), ("read it out: \"", r",\s+[\d(+]"), ("read it out: “", r",\s+[\d(+]"),
-]
-#: Cues after a private name.
-AFTER = [
-    ", a physician in ", " waited ", " and her brother ", " and his brother ", ", who drives ", ", who dr", ", ausweisnummer ", " ist unter ", " hat die verletzten ", ", numéro d'identité", ", numéro d’identité",
-    " has now written ", ", wrote to me from ", " has called my office",
-]
-_AFTER_CHECK = {" waited ": r" waited\s+\d+\s+days\s+at\b", " ist unter ": r" ist unter\s+[+(\d]", " and her brother ": r" and her brother\s+runs?\b", " and his brother ": r" and his brother\s+runs?\b"}
+WORD = re.compile(_W)
+_PART = rf"(?:[^\W\d_]\.|{_W})"
+_BIG = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’][^\W\d_]+)*(?:-[^\W\d_]+)*"
+FULL_NAME = re.compile(rf"(?<![\w.'’-])(?:{_BIG},\s+{_BIG}(?:\s+[^\W\d_]\.)?(?=\s*[,;/])|(?:[^\W\d_]\.|{_BIG})(?:\s+(?:[^\W\d_]\.|{_BIG})){{1,3}})")
+AFTER_TITLE = re.compile(rf"{_PART}(?:\s+{_PART}){{0,3}}")
+SENTENCE = re.compile(r"(?<=[^\W\d_]{3}[.!?])\s+|(?<=[!?:»)\]])\s+|(?<=\d[.!?])\s+|[—–]\s+|\n\n+")
 
 PHONE_OR_ID = re.compile(r"(?<![\w])(?:\+\d|\(0|\(\d|\d)[\d() ./  ‑\n-]*\d(?!\w)")
 _PHONE = re.compile(
@@ -80,6 +82,12 @@ ADDRESS_FR = re.compile(
 )
 
 
+COMPANY_NEXT = re.compile(rf"\s+{COMPANY}")
+_FIRM = re.compile(r"(?:Firma|société|company)\s+$")
+_HYPHENED = re.compile(r"-[^\W\d_]+")
+_NEXT = re.compile(r"\s+([^\W\d_]+)")
+_FOLLOWING = re.compile(r"(,?\s+)([^\W\d_]+(?:-[^\W\d_]+)*)(?:\s+[^\W\d_]\.(?=[,;\s]))?")
+_STREETS = {*STREET_EN, *STREET_FR}
 _DIGIT = re.compile(r"\d")
 _DE_NUMBER = re.compile(r"\.?\s+[1-9]")
 _SPELT_AT = re.compile(r"\s+(?:at|arobase)\s+[\w-]+(?:\.\w|\s+(?:dot|punkt|point)\s|\s*[(\[](?:dot|punkt|point))", re.I)
@@ -122,6 +130,37 @@ def _number(text: str, at: int, part: str) -> Iterator[tuple[int, int, str]]:
         yield at + best.start(), at + best.end(), "phone"
 
 
+def in_address_of_scheme(text: str, at: int) -> bool:
+    """Whether a place lies in the user part of an address with a scheme (ftp://user:word@host), whose at-sign is no email's."""
+    while at and not text[at - 1].isspace():
+        if text.startswith("://", at - 3) and at >= 3:
+            return True
+        if text[at - 1] in "<>()\"'":
+            return False
+        at -= 1
+    return False
+
+
+def back(text: str, at: int, words: int) -> int:
+    """The place where the last so many words before a place begin."""
+    for _ in range(words):
+        while at and text[at - 1].isspace():
+            at -= 1
+        while at and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def ahead(text: str, at: int, words: int) -> int:
+    """The place where the so many words from a place on end."""
+    for _ in range(words):
+        while at < len(text) and text[at].isspace():
+            at += 1
+        while at < len(text) and not text[at].isspace():
+            at += 1
+    return at
+
+
 def emails(text: str, at: int) -> tuple[int, int, str] | None:
     """The address round the at-sign (or its spelling) that begins at a place, blanks before it included."""
     while at and text[at - 1].isspace():
@@ -129,11 +168,13 @@ def emails(text: str, at: int) -> tuple[int, int, str] | None:
     if text[at].isspace() and text[at + 1 : at + 2].isalpha() and not _SPELT_AT.match(text, at):
         return None
     sign = AT_SIGN.match(text, at)
-    local = sign and re.search(r"[\w.+%-]+$", text[max(0, at - 70) : at])
-    domain = local and DOMAIN.match(text, sign.end(), min(len(text), sign.end() + 120))
-    if not domain or text[domain.end() : domain.end() + 1] == "@":
+    start = at
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
+        start -= 1
+    domain = sign and start < at and DOMAIN.match(text, sign.end())
+    if not domain or text[domain.end() : domain.end() + 1] == "@" or in_address_of_scheme(text, start):
         return None
-    name = local.group().lstrip(".-+%")
+    name = text[start:at].lstrip(".-+%")
     word = re.fullmatch(r"\s+\w+\s+", sign.group())
     if not name or (word and not SPELT_DOT.search(domain.group()) and not re.search(r"[\d._+-]", name)):
         return None
@@ -145,14 +186,15 @@ def address(text: str, at: int, end: int, kind: str) -> tuple[int, int, str] | N
     if kind == "de":
         if not _DE_NUMBER.match(text, end):
             return None
-        rx, lo = ADDRESS_DE, max(0, at - 60)
+        rx, lo, hi = ADDRESS_DE, back(text, at, 3), ahead(text, end, 4)
     else:
         if not at or not text[at - 1].isspace() or (end < len(text) and text[end].isalnum()):
             return None
-        if kind == "en" and not text[at].isupper() or not _DIGIT.search(text, max(0, at - 60), at):
+        lo, hi = back(text, at, 7), ahead(text, end, 6 if kind == "fr" else 2)
+        if kind == "en" and not text[at].isupper() or not _DIGIT.search(text, lo, at):
             return None
-        rx, lo = (ADDRESS_EN, max(0, at - 60)) if kind == "en" else (ADDRESS_FR, max(0, at - 30))
-    for m in rx.finditer(text, lo, min(len(text), at + 60)):
+        rx = ADDRESS_EN if kind == "en" else ADDRESS_FR
+    for m in rx.finditer(text, lo, hi):
         if m.start() <= at < m.end():
             return m.start(), m.end(), "street_address"
         if m.start() > at:
@@ -160,142 +202,165 @@ def address(text: str, at: int, end: int, kind: str) -> tuple[int, int, str] | N
     return None
 
 
-class Finder:
-    """Anchors in one automaton and the parsers behind them; surnames and given: learned words in lower case; roster: members' names in lower case.
+def surname_of(name: str) -> tuple[list[str], list[str]]:
+    """(parts of the surname, first names) of a name as written: the part before a comma, the one in capitals, else the last word."""
+    if "," in name:
+        sur, _, rest = name.partition(",")
+        sur, rest = sur.split()[-1:], rest.split()
+    else:
+        words = [w for w in name.split() if not w.endswith(".")]
+        caps = [w for w in words if w.isupper() and len(w) > 1]
+        sur = caps if caps and len(caps) < len(words) else words[-1:]
+        rest = [w for w in words if w not in sur]
+    return [p.lower() for w in sur for p in w.split("-")], [w.lower() for w in rest if not w.endswith(".")]
+
+
+def one_edit_from(word: str, words: set[str]) -> bool:
+    """Whether one letter left out, put in, changed or swapped with its neighbour makes a word one of the words."""
+    letters = {c for w in words for c in w}
+    cut = [(word[:k], word[k:]) for k in range(len(word) + 1)]
+    return any(a + b[1:] in words for a, b in cut if b) or any(a + b[1] + b[0] + b[2:] in words for a, b in cut if len(b) > 1) or any(a + c + rest in words for a, b in cut for c in letters for rest in (b, b[1:]))
 
-    For learning it knows the cues of names only.
-    """
 
-    def __init__(self, roster: set[str], surnames: frozenset[str] = frozenset(), given: frozenset[str] = frozenset(), learning: bool = False):
-        self.members = {tuple(sorted(re.split(r"[\s-]+", n))) for n in roster}
-        self.roster = {p for n in self.members for p in n}
+class Finder:
+    """Anchors in one automaton and the parsers behind them; surnames and given: learned words in lower case; roster: members' names in lower case."""
+
+    def __init__(self, roster: set[str], surnames: frozenset[str] = frozenset(), given: frozenset[str] = frozenset()):
+        self.first_of: dict[str, set[str]] = {}  # first names of the members of a surname
+        for n in roster:
+            parts = n.split()
+            for p in parts[-1].split("-") if parts else ():
+                self.first_of.setdefault(p, set()).update(parts[:-1])
+        self.roster = {p for n in roster for p in re.split(r"[\s-]+", n)}
         self.surnames, self.given = surnames, given
+        self.hints = {w for names in FIRST_NAMES.values() for w in names} - self.roster
         payload: dict[str, list] = {}
-        if not learning:
-            for w in AT_SIGNS:
-                payload.setdefault(w, []).append(("at", None))
-            for k, words in (("en", STREET_EN), ("de", STREET_DE), ("fr", STREET_FR)):
-                for w in words:
-                    payload.setdefault(w, []).append(("street", k))
-        for cue, then in BEFORE:
-            for c in {cue, cue.replace(" ", "\n", 1) if cue.count(" ") == 1 else cue}:
-                lead = r"\d+:\s+" if cue.startswith("witness") else r"\d+\s+/\s+" if cue == "exhibit " else ""
-                payload.setdefault(c, []).append(("before", re.compile(rf"\s*{lead}(?:{TITLE}\s+)*({_NAME}){then}")))
-        for cue in AFTER:
-            payload.setdefault(cue, []).append(("after", re.compile(_AFTER_CHECK.get(cue, re.escape(cue)), re.I)))
+        for w in AT_SIGNS:
+            payload.setdefault(w, []).append(("at", None))
+        for k, words in (("en", STREET_EN), ("de", STREET_DE), ("fr", STREET_FR)):
+            for w in words:
+                payload.setdefault(w, []).append(("street", k))
+        for w in [*TITLES, "m."]:
+            payload.setdefault(w, []).append(("title", None))
         for w in surnames:
             payload.setdefault(w, []).append(("name", None))
+        for w in set(self.first_of) - surnames:
+            payload.setdefault(w, []).append(("shared", None))
         self.auto = ahocorasick.Automaton()
         for w, p in payload.items():
             self.auto.add_word(w, (w, p))
         self.auto.make_automaton()
 
-    def introduced(self, text: str, low: str, w: str, rx: re.Pattern, kind: str, end: int) -> tuple[int, int] | None:
-        """The private name that a cue introduces, without title; none if it is a member's."""
-        if kind == "before":
-            m = rx.match(text, end + 1)
-            if not m:
-                return None
-            s, e = m.span(1)
-        else:
-            start = end + 1 - len(w)
-            if not rx.match(text, start):
-                return None
-            if w == " has called my office":  # the address stands between
-                of = re.search(r"\sof\s(?:(?!\sof\s)[^.;:\[\]]){4,50}$", text[max(0, start - 60) : start])
-                if not of:
-                    return None
-                start -= len(of.group())
-            left = text[max(0, start - 70) : start]
-            cut = max((m.end() for m in re.finditer(r"[!?:;()\[\]\"“”—–]\s*|(?<![^\W\d_])[^\W\d_]{2,}\.\s+|\d[.)]?\s+|,\s+(?=(?:Mr|Mrs|Ms|Dr)\b)", left)), default=0)
-            if not cut and start > 70:
-                return None
-            left = left[cut:].lstrip()
-            left = re.sub(rf"^(?:A constituent, |Une habitante, )?(?:{TITLE}\s+)+", "", left)
-            if not left or not NAME_ONLY.fullmatch(left):
-                return None
-            s, e = start - len(left), start
-        words = [x for x in re.split(r"[\s,-]+", low[s:e]) if len(x.rstrip(".")) > 1]
-        if not words or len(words) > 5 or tuple(sorted(words)) in self.members:
-            return None
-        return s, e
-
-    def surname_of(self, name: str) -> tuple[list[str], list[str]]:
-        """(parts of the surname, first names) of a name as written: the part before a comma, the one in capitals, else the last word."""
-        if "," in name:
-            sur, _, rest = name.partition(",")
-            sur, rest = sur.split()[-1:], rest.split()
-        else:
-            words = [w for w in name.split() if not re.fullmatch(r"[^\W\d_]\.", w)]
-            caps = [w for w in words if w.isupper()]
-            sur = caps if caps and len(caps) < len(words) else words[-1:]
-            rest = [w for w in words if w not in sur]
-        return [p.lower() for w in sur for p in w.split("-")], [w.lower() for w in rest if not w.endswith(".")]
-
-    def learn(self, text: str) -> Counter:
-        """(word, surname or given) that the cues of one text introduce."""
-        low, out = lower_same(text), Counter()
+    def anchors(self, text: str, low: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[str, int, int]]]:
+        """(details other than names as rank, start, end, type; anchors of names as kind, start, end) of one text."""
+        hits = [(1, s, e, t) for s, e, t in numbers(text)]
+        names = []
         for end, (w, payload) in self.auto.iter(low):
-            for kind, rx in payload:
-                if kind in ("before", "after") and (span := self.introduced(text, low, w, rx, kind, end)):
-                    sur, given = self.surname_of(text[span[0] : span[1]])
-                    out.update((p, "surname") for p in sur if len(p) > 2 and p not in self.roster)
-                    out.update((p, "given") for p in given if len(p) > 1)
-        return out
-
-    def widen(self, text: str, low: str, s: int, e: int, lang: str) -> tuple[int, int] | None:
-        """The whole name round a surname: hyphens, first names and initials, none for a company or inside a word."""
-        while m := re.search(rf"[^\W\d_]+(?:['’][^\W\d_]+)*-$", text[max(0, s - 40) : s]):
-            s -= len(m.group())
-        while m := re.match(r"-[^\W\d_]+", text[e : e + 40]):
-            e += m.end()
-        if (s and (text[s - 1].isalnum() or text[s - 1] in "_@+.-" and not text[s - 1 : s] == ".")) or (e < len(text) and (text[e].isalnum() or text[e] in "_@+")):
+            at = end + 1 - len(w)
+            for kind, arg in payload:
+                if kind == "at":
+                    if f := emails(text, at):
+                        hits.append((0, *f))
+                elif kind == "street":
+                    if f := address(text, at, end + 1, arg):
+                        hits.append((2, *f))
+                else:
+                    names.append((kind, at, end + 1))
+        return hits, names
+
+    def named(self, words: list[str], said: Counter, why: str | None, first: bool = True) -> None:
+        """Count one name as written: its surname under `why`, if given, and, if asked for, the word before it, to be a first name should this be a surname."""
+        sur, rest = surname_of(" ".join(words))
+        if not sur or any(w in OFFICES or w in TITLES for w in [*sur, *rest]):
+            return
+        if why:
+            said.update((p, why, "") for p in sur if len(p) > 2 and p not in self.roster)
+        if first:
+            said.update((p, "before", q) for w in rest[-1:] for p in w.split("-") if len(p) > 1 for q in sur if len(q) > 2)
+
+    def learn(self, text: str, lang: str | None) -> Counter:
+        """(word, titled, near, hint or uses, "") and (word, before, the word that may be a surname) -> how often, of one text."""
+        low, said = lower_same(text), Counter()
+        hits, names = self.anchors(text, low)
+        said.update((w.group().lower(), "uses", "") for w in WORD.finditer(text) if w.group()[0].isupper())
+        for kind, s, e in names:
+            if kind == "title" and (not s or not text[s - 1].isalnum()) and text[s].isupper() and (low[s:e] != "m." or lang == "fr"):
+                e += text[e : e + 1] == "."
+                m = AFTER_TITLE.match(text, e + 1) if text[e : e + 1].isspace() else None
+                words = list(takewhile(lambda w: w[0].isupper(), m.group().split() if m else ()))
+                if words and words[-1].rstrip(".").lower() not in TITLES:
+                    self.named(words, said, "titled")
+        spans = sorted((s, e) for _, s, e, _ in hits)
+        at, k = 0, 0
+        for cut in [m.end() for m in SENTENCE.finditer(text)] + [len(text)]:
+            while k < len(spans) and spans[k][1] <= at:
+                k += 1
+            here = list(takewhile(lambda x: x[0] < cut, spans[k:]))  # noqa: B023  the details of this sentence
+            for m in FULL_NAME.finditer(text, at, cut):
+                parts, begins = m.group().split(), m.start() == at
+                if text[back(text, m.start(), 1) : m.start()].strip().lower() in ARTICLES:
+                    parts = parts[1:]  # what an article stands before is no name
+                while parts and (parts[0].rstrip(".").lower() in TITLES or parts[0].lower() in SMALL_WORDS):
+                    parts, begins = parts[2 if parts[0].lower() in ARTICLES else 1 :], False
+                words = list(takewhile(lambda w: w.lower() not in TITLES, parts))
+                if len(words) < 2 or any(s < m.end() and m.start() < e for s, e in here) or COMPANY_NEXT.match(text, m.end()):
+                    continue
+                hint = words[0].lower() in self.hints and words[-1].lower() not in _STREETS
+                # the first word of a sentence may be any word, unless the other one, in capitals, is the surname
+                self.named(words, said, "near" if here else "hint" if hint else None, not begins or len([w for w in words if not w.endswith(".")]) > 2 or (words[0].isupper() and not words[1].isupper()))
+            at = cut
+        return said
+
+    def widen(self, text: str, s: int, e: int, lang: str | None) -> tuple[int, int, list[str]] | None:
+        """(start, end, first names) of the whole name round a surname: hyphens, first names and initials; none for a company, a street or inside a word."""
+        while s > 1 and text[s - 1] == "-" and text[s - 2].isalpha():
+            s -= 1
+            while s and (text[s - 1].isalpha() or text[s - 1] in "'’"):
+                s -= 1
+        while m := _HYPHENED.match(text, e):
+            e = m.end()
+        if (s and (text[s - 1].isalnum() or text[s - 1] in "_@+-")) or (e < len(text) and (text[e].isalnum() or text[e] in "_@+")):
+            return None
+        if COMPANY_NEXT.match(text, e) or _FIRM.search(text, back(text, s, 1), s):
             return None
-        if re.match(rf"\s+{COMPANY}", text[e : e + 20]) or re.search(r"(?:Firma|société|company)\s+$", text[max(0, s - 20) : s]):
+        if (m := _NEXT.match(text, e)) and m.group(1)[0].isupper() and m.group(1).lower() in _STREETS:
             return None
-        bare = s
+        bare, first = s, []
         while True:
-            left = text[max(0, s - 40) : s]
-            if m := re.search(r"(?<!\w)([^\W\d_])\.\s*$", left):
-                more = re.search(r"(?<!\w)([^\W\d_]+)\s+$", left[: m.start()])
-                title = lang == "fr" and m.group(1) == "M" and not (more and more.group(1).lower() in self.given)
-                if m.group(1).isupper() and not title:
-                    s -= len(left) - m.start()
+            lo = back(text, s, 1)
+            left = text[lo:s].rstrip()
+            if re.fullmatch(r"[\"“”'(\[]*[^\W\d_]\.", left):
+                letter = left[-2]
+                more = text[back(text, lo, 1) : lo].strip().lower()
+                if letter.isupper() and not (lang == "fr" and letter == "M" and more not in self.given):
+                    s = lo + len(left) - 2
+                    continue
+            word = re.search(rf"(?:{_W})$", left)
+            if word and (not word.start() or not left[word.start() - 1].isalnum()) and all(p in self.given for p in word.group().lower().split("-")):
+                first.append(word.group().lower())
+                s = lo + word.start()
+                if not word.start():
                     continue
-            if (m := re.search(r"(?<!\w)([^\W\d_]+(?:-[^\W\d_]+)*)\s+$", left)) and all(p in self.given for p in m.group(1).lower().split("-")):
-                s -= len(left) - m.start()
-                continue
             break
         shown = text[bare:e]
-        if s == bare and (m := re.match(r"(,?\s+)([^\W\d_]+(?:-[^\W\d_]+)*)(?:\s+[^\W\d_]\.(?=[,;\s]))?", text[e : e + 40])):
+        if s == bare and (m := _FOLLOWING.match(text, e)):
             if ("," in m.group(1) or shown.isupper()) and m.group(2).lower() in self.given and m.group(2)[0].isupper():
-                e += m.end()
-        if shown.islower() and s == bare:
-            return None
-        return s, e
+                first.append(m.group(2).lower())
+                e = m.end()
+        return None if shown.islower() and s == bare else (s, e, first)
 
-    def find(self, text: str, lang: str) -> list[tuple[int, int, str]]:
+    def find(self, text: str, lang: str | None) -> list[tuple[int, int, str]]:
         """Non-overlapping (start, end, type) of one text, in order; null and empty texts have none."""
         if not text:
             return []
         low = lower_same(text)
-        hits: list[tuple[int, int, int, str]] = [(1, s, e, t) for s, e, t in numbers(text)]
-        for end, (w, payload) in self.auto.iter(low):
-            for kind, rx in payload:
-                at = end + 1 - len(w)
-                if kind == "at":
-                    if f := emails(text, at):
-                        hits.append((0, *f))
-                elif kind == "street":
-                    if f := address(text, at, end + 1, rx):
-                        hits.append((2, *f))
-                elif kind == "name":
-                    if f := self.widen(text, low, at, end + 1, lang):
-                        hits.append((4, *f, "name"))
-                elif f := self.introduced(text, low, w, rx, kind, end):
-                    parts = re.split(r"[\s,-]+", low[f[0] : f[1]])
-                    if any(p in self.surnames or p in self.roster for p in parts):  # a private person may share a member's surname
-                        hits.append((3, *f, "name"))
+        hits, names = self.anchors(text, low)
+        for kind, s, e in names:
+            if kind == "title" or not (f := self.widen(text, s, e, lang)):
+                continue
+            # with a member's surname, a private person has first names that no member of that name has
+            if kind == "name" or (f[2] and not any(g in self.first_of[low[s:e]] for g in f[2])):
+                hits.append((4, f[0], f[1], "name"))
         taken: list[tuple[int, int, str]] = []
         for _, s, e, t in sorted(set(hits), key=lambda h: (h[0], h[1] - h[2], h[1])):
             if all(e <= s2 or s >= e2 for s2, e2, _ in taken):
@@ -308,44 +373,69 @@ def roster_names(members: DataFrame) -> set[str]:
     return {r[0].lower().strip() for r in members.select("full_name").distinct().collect() if r[0]}
 
 
+FLUSH = 200_000  # words that a task counts before it passes them on
+
+
 def learned_names(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """(word, kind, n): surnames and given names of private persons that cues introduce, with the number of introductions, over all documents.
+    """(word, kind, n): surnames and first names of private persons, with the number of places that show it, over all documents.
 
-    A word counts as a surname if at least as many introductions use it so as not; members' names are none.
+    documents: text, lang. A surname: titled, hinted at, or in full names beside other details, each in a share of its uses; a first name: before a
+    surname in a share of its uses, or once if a member has it too. A word that is both is a surname if as many places show that. Members' surnames are
+    none, nor, unless it stands beside other details, a word one letter from a member's name.
     """
     roster = roster_names(members)
 
     def learn(batches):
-        finder = Finder(roster, learning=True)
+        finder, total = Finder(roster), Counter()
+        out = lambda: pd.DataFrame([(*k, n) for k, n in total.items()], columns=["word", "kind", "of", "n"])
         for pdf in batches:
-            total = Counter()
-            for text in pdf["text"]:
+            for text, lang in zip(pdf["text"], pdf["lang"]):
                 if text:
-                    total.update(finder.learn(text))
-            yield pd.DataFrame([(w, k, n) for (w, k), n in total.items()], columns=["word", "kind", "n"])
-
-    rows = documents.select("text").mapInPandas(learn, "word string, kind string, n long")
-    words = rows.groupBy("word").agg(
-        F.sum(F.when(F.col("kind") == "surname", F.col("n")).otherwise(0)).alias("surname"), F.sum(F.when(F.col("kind") == "given", F.col("n")).otherwise(0)).alias("given")
-    )
-    kind = F.when(F.col("surname") >= F.col("given"), "surname").otherwise("given")
-    return words.select("word", kind.alias("kind"), (F.col("surname") + F.col("given")).alias("n"))
+                    total.update(finder.learn(text, lang))
+            if len(total) > FLUSH:
+                yield out()
+                total.clear()
+        yield out()
+
+    rows = documents.select("text", "lang").mapInPandas(learn, "word string, kind string, of string, n long")
+    rows = materialize(rows.groupBy("word", "kind", "of").agg(F.sum("n").alias("n")), "name-words")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind)
+
+    @F.pandas_udf("boolean")
+    def misspelt(word: pd.Series) -> pd.Series:
+        parts = {p for n in roster for p in re.split(r"[\s-]+", n)}
+        return word.map(lambda w: one_edit_from(w, parts))
+
+    words = rows.filter("kind <> 'before'").groupBy("word").agg(*[of(k) for k in ("titled", "near", "hint", "uses")])
+    words = words.withColumn("shown", F.col("titled") + F.col("near") + F.col("hint"))
+    surname = ((F.col("near") >= NEAR_SHARE * F.col("uses")) & (F.col("near") > 0)) | ((F.col("titled") + F.col("hint") > 0) & (F.col("shown") >= TITLED_SHARE * F.col("uses")))
+    surnames = words.filter(surname).filter((F.col("near") > 0) | ~misspelt("word")).select("word", "shown")
+    surnames = materialize(surnames, "surnames")
+    before = rows.filter("kind = 'before'").join(surnames.select(F.col("word").alias("of")), "of").groupBy("word").agg(F.sum("n").alias("given"))
+    firsts = sorted({p for n in roster for w in n.split()[:-1] for p in w.split("-")})  # members' first names are first names of others too
+    given = before.join(words.select("word", "uses"), "word").filter((F.col("given") >= FIRST_SHARE * F.col("uses")) | F.col("word").isin(firsts))
+    both = surnames.join(given, "word", "full_outer").select("word", F.coalesce("shown", F.lit(0)).alias("s"), F.coalesce("given", F.lit(0)).alias("g"))
+    return both.select("word", F.when(F.col("s") >= F.col("g"), "surname").otherwise("given").alias("kind"), F.greatest("s", "g").alias("n"))
+
+
+def _shared_names(documents: DataFrame, members: DataFrame):
+    """What a Finder needs, as a broadcast: roster, surnames, first names. Raises beyond MAX_NAMES."""
+    names = materialize(learned_names(documents, members), "names")
+    held = names.limit(MAX_NAMES + 1).collect()
+    if len(held) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names learned")
+    of = lambda kind: frozenset(r["word"] for r in held if r["kind"] == kind)
+    hints = frozenset(w for words in FIRST_NAMES.values() for w in words)
+    return documents.sparkSession.sparkContext.broadcast((roster_names(members), of("surname"), of("given") | hints))
 
 
 def personal_spans(documents: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id, start_pos, end_pos, pii_type): every personal detail, as 0-based code points, end exclusive; spans of a text do not overlap.
 
-    documents: doc_id, text, lang (a null lang is taken as en); repeated rows give repeated spans once. Raises if more than MAX_NAMES
+    documents: doc_id, text, lang (null: any); repeated rows give their spans once. Raises if more than MAX_NAMES
     words are learned, as each executor holds them.
     """
-    names = materialize(learned_names(documents, members), "names")
-    held = names.limit(MAX_NAMES + 1).collect()
-    if len(held) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names learned")
-    surnames = frozenset(r["word"] for r in held if r["kind"] == "surname")
-    given = frozenset(r["word"] for r in held if r["kind"] == "given")
-    sc, roster = documents.sparkSession.sparkContext, roster_names(members)
-    shared = sc.broadcast((roster, surnames, given))
+    shared = _shared_names(documents, members)
 
     def find(batches):
         finder = Finder(*shared.value)
@@ -353,17 +443,12 @@ def personal_spans(documents: DataFrame, members: DataFrame) -> DataFrame:
             rows = [(d, *f) for d, t, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]) if t for f in finder.find(t, lang)]
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "pii_type"])
 
-    return documents.select("doc_id", "text", "lang").mapInPandas(find, SPANS)
+    return documents.select("doc_id", "text", "lang").mapInPandas(find, SPANS).distinct()
 
 
 def replaced(documents: DataFrame, members: DataFrame) -> DataFrame:
     """documents (doc_id, text) with each personal detail replaced by its type in capitals in square brackets, the rest unchanged."""
-    names = materialize(learned_names(documents, members), "names")
-    held = names.limit(MAX_NAMES + 1).collect()
-    if len(held) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names learned")
-    learned = (roster_names(members), frozenset(r["word"] for r in held if r["kind"] == "surname"), frozenset(r["word"] for r in held if r["kind"] == "given"))
-    shared = documents.sparkSession.sparkContext.broadcast(learned)
+    shared = _shared_names(documents, members)
 
     def swap(batches):
         finder = Finder(*shared.value)

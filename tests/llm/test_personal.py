@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def found(text, lang="en", surnames=("korvel", "dainov"), given=("mira", "tolan"
 
 @pytest.mark.parametrize("text, want", [
     ("Reply to: mira_77@ferry-mail.test.", ["mira_77@ferry-mail.test"]), ("write to m.k @ example.net as well", ["m.k @ example.net"]), ("from korvel+house at example dot org as", ["korvel+house at example dot org"]), ("x-y (at) post (dot) example (dot) org", ["x-y (at) post (dot) example (dot) org"]),
-    ("a_1 [at] example.com; tel.", ["a_1 [at] example.com"]), ("Look at example dot", []), ("meet at example.com", []), ("or at q.r@mail.invalid.", ["q.r@mail.invalid"]), ("@ nobody", []),
+    ("a_1 [at] example.com; tel.", ["a_1 [at] example.com"]), ("Look at example dot", []), ("meet at example.com", []), ("or at q.r@mail.invalid.", ["q.r@mail.invalid"]), ("@ nobody", []), ("to " + "k" * 90 + "@" + "host" * 40 + ".example.org.", ["k" * 90 + "@" + "host" * 40 + ".example.org"]), ("see ftp://user:pw.x@host.example.org/a", []),
 ])
 def test_emails(text, want):
     assert [t for t, k in found(text) if k == "email"] == want
@@ -44,7 +46,7 @@ def test_addresses(text, lang, want):
 
 @pytest.mark.parametrize("text, lang, want", [
     ("I promised Mr Korvel an answer.", "en", ["Korvel"]), ("to Korvel Ltd for", "en", []), ("Die Firma Korvel GmbH", "de", []), ("what happened to mira korvel.", "en", ["mira korvel"]), ("Petition lead: KORVEL Mira; contact", "en", ["KORVEL Mira"]), ("Petition lead: Korvel, Mira; contact", "en", ["Korvel, Mira"]), ("driver was Mira K. Korvel; the", "en", ["Mira K. Korvel"]),
-    ("Exhibit 2 / DAINOV Tolan / 8", "en", ["DAINOV Tolan"]), ("signed Mira Dainov-Korvel, 152", "en", ["Mira Dainov-Korvel"]), ("B. Korvel and", "en", ["B. Korvel"]), ("joindre M. Korvel au", "fr", ["Korvel"]), ("As Mr Berg reminded us", "en", []), ("The driver was Anna Berg; the", "en", []), ("The driver was Mira Berg; the", "en", ["Mira Berg"]), ("[End of document] Mrs Korvel of 13a Bell Avenue has called my office", "en", ["Korvel"]), ("a korvel of wood", "en", []), ("Korvelling", "en", []),
+    ("Exhibit 2 / DAINOV Tolan / 8", "en", ["DAINOV Tolan"]), ("signed Mira Dainov-Korvel, 152", "en", ["Mira Dainov-Korvel"]), ("B. Korvel and", "en", ["B. Korvel"]), ("joindre M. Korvel au", "fr", ["Korvel"]), ("As Mr Berg reminded us", "en", []), ("The driver was Anna Berg; the", "en", []), ("The driver was Mira Berg; the", "en", ["Mira Berg"]), ("[End of document] Mrs Korvel of 13a Bell Avenue has called my office", "en", ["Korvel"]), ("The Korvel Road scheme", "en", []), ("met Tolan Stone there", "en", ["Tolan Stone"]), ("met Mr Stone there", "en", []), ("a korvel of wood", "en", []), ("Korvelling", "en", []),
 ])
 def test_names(text, lang, want):
     assert [t for t, k in found(text, lang) if k == "name"] == want
@@ -62,3 +64,51 @@ def test_learned_names_and_replacement(spark):
     assert texts[1] == "The driver was [NAME]; the officer noted [ID_NUMBER]. I promised Mrs [NAME] an answer." and texts[3] is None and texts[4] == ""
     assert personal_spans(df.limit(0), members).count() == 0
     assert len(lower_same("İAß")) == 3
+
+
+#: Sentences that introduce a person, none of them from the test data; some with a title, some beside another detail.
+CARRIERS = [
+    "A farmer told us that Mr {n} lost two fields.", "Nobody asked Ms {n} before the vote.", "We buried Dr {n} in May.", "I went to see Mrs {n} on Monday.", "On the bench sat Miss {n} with a lamp.", "Gestern rief Herr {n} an.",
+    "Wir danken Frau {n} für die Geduld.", "Hier, nous avons vu Mme {n} au port.", "The parcel for {n} went to 14 Tallow Lane instead.", "We rang {n} on 07700 900121 twice.", "The clerk mixed up {n} with 182548818 again.",
+    "Somebody wrote to {n} at {e} for weeks.",
+]
+
+
+def _people(seed):
+    rng = random.Random(seed)
+    syllable = lambda: rng.choice("bdfgklmnprstvz") + rng.choice(["a", "e", "i", "o", "u", "ae"]) + rng.choice(["l", "n", "r", "s", "x", "th"])
+    word = lambda k: "".join(syllable() for _ in range(k)).capitalize()
+    firsts, last = [word(2) for _ in range(12)], [word(3) for _ in range(60)]
+    towns = [word(3) for _ in range(20)]
+    docs, truth = [], []
+    for d in range(400):
+        text, spans = f"In {rng.choice(towns)} it rains. {rng.choice(towns)} waits for a road. ", []
+        for carrier in rng.sample(CARRIERS, 2):
+            first, sur = rng.choice(firsts), rng.choice(last)
+            name = f"{first} {sur}" if "Mr " not in carrier or rng.random() < 0.5 else sur
+            a, b = carrier.replace("{e}", f"{sur.lower()}@mail.example.org").split("{n}")
+            spans.append((d, len(text) + len(a), len(text) + len(a) + len(name)))
+            text += a + name + b + " "
+        if d % 3 == 0:  # a surname alone, without anything that introduces it
+            sur = rng.choice(last)
+            spans.append((d, len(text) + len("Later "), len(text) + len("Later ") + len(sur)))
+            text += f"Later {sur} came. {rng.choice(towns)} did not. {rng.choice(last)} Ltd closed."
+        docs.append((d, text, None))
+        truth += spans
+    return docs, set(truth)
+
+
+def test_names_are_learned_from_their_surroundings(spark):
+    docs, truth = _people(3)
+    members = spark.createDataFrame([("Anna Berg",)], "full_name string")
+    got = {(r.doc_id, r.start_pos, r.end_pos) for r in personal_spans(spark.createDataFrame(docs, DOCS), members).filter("pii_type = 'name'").collect()}
+    assert len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got)
+    plain = [(1, "My client, Mr Walter Higginbotham, complained. I met Susan Clarkwell of Leeds. The Minister saw Mr President.", "en"), (2, "Mein Nachbar Herr Otto Brinkmeyer wohnt hier", "de")]
+    got = {(r.doc_id, plain[r.doc_id - 1][1][r.start_pos : r.end_pos]) for r in personal_spans(spark.createDataFrame(plain, DOCS), members).collect()}
+    assert got == {(1, "Walter Higginbotham"), (1, "Susan Clarkwell"), (2, "Otto Brinkmeyer")}
+
+
+def test_without_learning_no_name_is_found():
+    docs, truth = _people(3)
+    f = Finder({"anna berg"})
+    assert truth and not any(k == "name" for _, text, lang in docs for _, _, k in f.find(text, lang))
