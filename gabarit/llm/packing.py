@@ -132,21 +132,25 @@ def packed(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY)
     counts: dict[int, dict[int, int]] = {p: {} for p, _ in caps}
     for r in by_salt.groupBy("pack_id", "rest").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
         counts[r["pack_id"]][r["rest"]] = r["n"]
-    keys, bases, each = [], [], []
-    for i, (p, c) in enumerate(caps):
-        for s, rank, base, k in places(solve(counts[p], c)):
-            keys.append((i << 57) | (s << 40) | rank)
-            bases.append((base, rank))
-            each.append(k)
-    shared = spark.sparkContext.broadcast((np.array(keys, dtype=np.int64), np.array(bases, dtype=np.int64).reshape(-1, 2), np.array(each, dtype=np.int64)))
+    tables = []  # of each pack: where the places of a size begin, their first ranks, first containers, and items in each
+    for p, c in caps:
+        at = np.array(places(solve(counts[p], c)), dtype=np.int64).reshape(-1, 4)
+        tables.append((np.searchsorted(at[:, 0], np.arange(c + 2)), at[:, 1], at[:, 2], at[:, 3]))
+    shared = spark.sparkContext.broadcast(tables)
     numbered = F.create_map(*[x for i, (p, _) in enumerate(caps) for x in (F.lit(p).cast("int"), F.lit(i))])
 
     @F.pandas_udf("long")
     def container(pack: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
-        k, b, e = shared.value
-        key = (pack.to_numpy(np.int64) << 57) | (size.to_numpy(np.int64) << 40) | rank.to_numpy(np.int64)
-        at = np.searchsorted(k, key, side="right") - 1
-        return pd.Series(b[at, 0] + (rank.to_numpy(np.int64) - b[at, 1]) // e[at])
+        pack, size, rank = (x.to_numpy(np.int64) for x in (pack, size, rank))
+        out = np.zeros(len(pack), np.int64)
+        for i in np.unique(pack):
+            begin, first, base, each = shared.value[i]
+            mine = np.flatnonzero(pack == i)
+            for s in np.unique(size[mine]):  # the places of a size lie together, by rank
+                own = mine[size[mine] == s]
+                at = begin[s] + np.searchsorted(first[begin[s] : begin[s + 1]], rank[own], side="right") - 1
+                out[own] = base[at] + (rank[own] - first[at]) // each[at]
+        return pd.Series(out)
 
     before = Window.partitionBy("pack_id", "rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = by_salt.select("pack_id", "rest", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

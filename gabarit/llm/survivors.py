@@ -1,13 +1,17 @@
 """The best representative of each duplicate group, by skyline selection.
 
-A record dominates another of its group if it has at least the same fields present, at least the same trust and at least the same
-recency, and more of one; recency is the total order of updated_at, latest first, then id, smallest first. Of records with equal
-presence and trust only the most recent can be undominated, so that each group is first reduced (with map-side combining, a group
-of any size never meets in one task) to at most 2**fields x trust ranks candidates. Among those the dominance layers are found, and the
-survivor takes each field from the first layer that has it, within a layer by the lexicographic policy trust, recency.
-
-For every field the record that the policy prefers among those that have it is in the first layer: whatever dominates it has the field
-too, at no less trust and recency, and would be preferred itself.
+A record dominates another of its group if it has at least the same fields present among those that are still wanted, at least the same
+trust and at least the same recency, and more of one; recency is the total order of updated_at, latest first, then id, smallest first.
+Of records with equal presence and trust only the most recent can be undominated, so that each group is first reduced (with map-side
+combining, a group of any size never meets in one task) to at most 2**fields x trust ranks candidates.
+
+The first layer is the undominated candidates with all fields wanted; the survivor is its first record by the lexicographic policy trust,
+recency. Fields that the survivor has not are still wanted: the next layer is the undominated ones of the candidates that have any of
+them, its first record fills what it has, and so on until nothing is wanted or no candidate has it. Every layer after the first fills
+at least one field, so that there are at most fields + 1.
+
+Each field comes from the record that the policy prefers among all that have it: whatever dominates that record has the field too and would
+be preferred itself, so it is in the layer that fills the field, and no record before it in that layer has a wanted field.
 """
 
 from __future__ import annotations
@@ -32,26 +36,38 @@ def present(value: Column, text: bool) -> Column:
     return F.coalesce((bare != "") & (bare != "unknown"), F.lit(False))
 
 
-def dominance_layers(candidates: Column, rounds: int) -> Column:
-    """candidates (array of structs mask, trust, time, id, ...) as an array of layers, the undominated first; after `rounds` layers the rest is dropped."""
-    better = lambda a, b: (  # noqa: E731  a dominates b
-        (a["mask"].bitwiseAND(b["mask"]) == b["mask"])
+def dominates(a: Column, b: Column, wanted: Column) -> Column:
+    """Whether candidate a (struct mask, trust, time, id) dominates b, with completeness counted in the wanted fields (a mask)."""
+    return (
+        (a["mask"].bitwiseAND(b["mask"]).bitwiseAND(wanted) == b["mask"].bitwiseAND(wanted))
         & (a["trust"] <= b["trust"])
         & ((a["time"] > b["time"]) | ((a["time"] == b["time"]) & (a["id"] <= b["id"])))
         & (a["id"] != b["id"])
     )
-    start = F.struct(candidates.alias("rest"), F.filter(F.array(candidates), lambda _: F.lit(False)).alias("layers"))
+
+
+def successive_layers(candidates: Column, fields: int, rounds: int | None = None) -> Column:
+    """array of struct(size, first): the size of each dominance layer and its first record by the policy, in whose order the candidates come.
+
+    rounds: fields + 1 if not given, which always suffices.
+    """
+    start = F.struct(candidates.alias("rest"), F.lit(2**fields - 1).alias("wanted"), F.filter(F.transform(candidates, lambda c: F.struct(F.lit(0).alias("size"), c.alias("first"))), lambda _: F.lit(False)).alias("layers"))
 
     def peel(acc, _):
-        top = F.filter(acc["rest"], lambda b: ~F.exists(acc["rest"], lambda a: better(a, b)))
-        left = F.filter(acc["rest"], lambda b: F.exists(acc["rest"], lambda a: better(a, b)))
-        return F.when(F.size(acc["rest"]) == 0, acc).otherwise(F.struct(left.alias("rest"), F.concat(acc["layers"], F.array(top)).alias("layers")))
+        layer = F.filter(acc["rest"], lambda b: ~F.exists(acc["rest"], lambda a: dominates(a, b, acc["wanted"])))
+        first = F.get(layer, F.lit(0))
+        wanted = acc["wanted"].bitwiseAND(F.bitwise_not(first["mask"]))
+        rest = F.filter(acc["rest"], lambda c: c["mask"].bitwiseAND(wanted) != 0)
+        more = F.concat(acc["layers"], F.array(F.struct(F.size(layer).alias("size"), first.alias("first"))))
+        return F.when(F.size(acc["rest"]) == 0, acc).otherwise(F.struct(rest.alias("rest"), wanted.alias("wanted"), more.alias("layers")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds or fields + 1)), start, peel)["layers"]
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, peel)["layers"]
 
+def survivors(records: DataFrame, registry: DataFrame, fields: dict[str, bool], rounds: int | None = None) -> DataFrame:
+    """(group_id, restriction_type, members, survivor_id, and for each field `<field>`, `<field>_from` and `<field>_layer`): one surviving record per group.
 
-def survivors(records: DataFrame, registry: DataFrame, fields: dict[str, bool]) -> DataFrame:
-    """(group_id, restriction_type, members, and for each field `<field>` and `<field>_from`): one surviving record per group.
+    survivor_id: the record that the survivor is built on; a field has its value, in layer 1, or that of the record which fills it, in a later layer.
 
     records: id, restriction_type, source.name, source.reference, updated_at and the fields (True: text). Groups are two or more ids of one
     restriction_type and reference (group_key); group_id is the smallest id. Repeated rows count once; rows without id, type or reference
@@ -75,12 +91,12 @@ def survivors(records: DataFrame, registry: DataFrame, fields: dict[str, bool])
         F.min("lo").alias("group_id"), F.max("hi").alias("hi"), F.sum("rows").alias("members"),
         F.array_sort(F.collect_list(F.struct("trust", F.col("m.t").alias("t"), F.col("m.id").alias("id"), "mask", (-F.col("m.t")).alias("time"), F.col("m.v").alias("v")))).alias("c"),
     ).filter(F.col("group_id") < F.col("hi"))
-    groups = groups.withColumn("layers", dominance_layers(F.col("c"), len(fields) + 1))
-    out = ["group_id", "restriction_type", "members"]
+    # array_sort put the candidates in the order of the policy: trust, latest, smallest id
+    groups = groups.withColumn("layers", successive_layers(F.col("c"), len(fields), rounds))
+    out = ["group_id", "restriction_type", "members", F.get("layers", F.lit(0)).getField("first").getField("id").alias("survivor_id")]
     for k, f in enumerate(fields):
-        bit = F.lit(2**k)
-        having = F.filter(F.flatten("layers"), lambda r: r["mask"].bitwiseAND(bit) != 0)  # noqa: B023
-        # array_sort put the records of a layer in the order of the policy: trust, latest, smallest id
-        best = F.get(having, F.lit(0))
-        out += [best.getField("v").getField(f).alias(f), best.getField("id").alias(f"{f}_from")]
+        has = F.transform("layers", lambda r: r["first"]["mask"].bitwiseAND(F.lit(2**k)) != 0)  # noqa: B023
+        at = F.array_position(has, F.lit(True)).cast("int")
+        best = F.when(at > 0, F.get("layers", at - 1).getField("first"))
+        out += [best.getField("v").getField(f).alias(f), best.getField("id").alias(f"{f}_from"), F.when(at > 0, at).alias(f"{f}_layer")]
     return groups.select(*out)

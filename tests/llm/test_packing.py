@@ -59,3 +59,16 @@ def test_documents(spark):
     assert f[2].containers <= f[2].least * 1.2 + 2
     assert packed(spark.createDataFrame([], "doc_id long, text string"), packs).count() == 0
     assert packed(spark.createDataFrame(docs, "doc_id long, text string"), packs.limit(0)).count() == 0
+
+
+@needs_vocabulary
+def test_large_capacities_and_many_packs(spark):
+    docs = spark.createDataFrame([(k, "word " * (k % 40 + 1)) for k in range(120)], "doc_id long, text string")
+    caps = {1: 1_000_000, 2: 64, **{k: 40 + k for k in range(3, 70)}}
+    packs = spark.createDataFrame(list(caps.items()), "pack_id int, capacity_tokens int")
+    rows = packed(docs, packs).collect()
+    room = {}
+    for r in rows:
+        room[r.pack_id, r.container_id] = room.get((r.pack_id, r.container_id), 0) + r.n_tokens
+    assert len({(r.pack_id, r.doc_id) for r in rows}) == 120 * len(caps)
+    assert all(n <= caps[p] for (p, _), n in room.items()) and sum(p == 1 for p, _ in room) == 1

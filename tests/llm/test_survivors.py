@@ -48,3 +48,18 @@ def test_empty_and_hot(spark):
     hot = spark.range(5000).select(F.format_string("i%05d", "id").alias("id"), F.lit("t").alias("restriction_type"), F.struct(F.lit("s").alias("name"), F.lit("same").alias("reference")).alias("source"), F.timestamp_seconds(F.col("id") % 7).alias("updated_at"), F.when(F.col("id") % 9 == 0, "ok").alias("status"), F.lit(None).cast("string").alias("value_source"), F.lit(None).cast("timestamp").alias("verified_at"))
     r = survivors(hot, registry, FIELDS).collect()
     assert len(r) == 1 and (r[0].group_id, r[0].status_from, r[0].value_source_from) == ("i00000", "i00027", None)
+
+
+def test_later_layers_fill_what_the_survivor_has_not(spark):
+    import datetime as dt
+
+    day = lambda k: dt.datetime(2024, 1, k)
+    rows = [
+        ("a", "t", ("s1", "r"), day(1), "ok", None, None), ("b", "t", ("s1", "r"), day(3), None, None, None), ("c", "t", ("s2", "r"), day(2), "bad", "m", None), ("d", "t", ("s3", "r"), day(9), "bad", "n", day(5)),
+    ]
+    registry = spark.createDataFrame([("s1", 1), ("s2", 2), ("s3", 3)], "source_name string, trust_rank int")
+    df = spark.createDataFrame(rows, SCHEMA)
+    r = survivors(df, registry, FIELDS).first()
+    assert r.survivor_id == "b" and [(r[f"{f}_from"], r[f"{f}_layer"]) for f in FIELDS] == [("a", 2), ("c", 3), ("d", 4)]
+    one = survivors(df, registry, FIELDS, rounds=1).first()  # without later layers nothing is filled
+    assert one.survivor_id == "b" and all(one[f"{f}_from"] is None for f in FIELDS)
