@@ -1,10 +1,12 @@
 """Quantities in different units, brought to millimetres and kilograms.
 
 A notation is where and how a unit is written: in the value, in the unit column or in the remark, with its letters. Records of one
-entity link the notations they use: for every pair of notations the robust scale (median of log ratios) and offset (median of what is
-left) are estimated, the scale is snapped to a known conversion, and conversions are propagated through the graph of notations
-from those in plain metres and tonnes. What a notation says in words is checked afterwards; where it has too few links, or
-its links disagree among themselves, the words alone decide.
+entity link the notations they use. For every pair of notations the robust scale (centre of the narrowest interval that holds half of the
+log ratios) and offset (what is left between the middle values) are estimated; a scale is snapped to a known conversion, and conversions are
+propagated through the graph of notations, from plain metres and tonnes until no more become known, and then to notations of the same letters.
+
+The links decide: a notation has the unit that its links give, whatever its letters say. Only where links are few (under OVERRULE_LINKS
+against the words, under MIN_LINKS at all), disagree, or leave an offset that no unit explains, do the words of the label decide.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ WEIGHT_TYPES = ("max_gross_weight", "max_axle_weight")
 LENGTH_TYPES = ("max_height", "max_width", "max_length")
 SNAP_LOG = math.log(1.045)  # half the distance of a yard from a metre
 MIN_LINKS = 5
-ROUNDS = 3  # steps through the graph of notations
+OVERRULE_LINKS = 20  # from which links hold against words that name another unit
+MAX_OFFSET = 0.1  # of the middle value, beyond which a notation is no plain unit
+TWENTIETHS = [k / 20 for k in range(1, 20)]
 
 _SPACE = r"[\s\u00a0\u202f\u2009]"
 _FEET = r"(?:'|’|′|ft\.?|feet|foot)"
@@ -118,66 +122,86 @@ def _factor(unit: Column, as_type: str = "double") -> Column:
     return F.create_map(*[F.lit(x) for u, f in (LENGTH_UNITS | WEIGHT_UNITS).items() for x in (u, f)])[unit].cast(as_type)
 
 
+def _narrowest_half(q: Column) -> Column:
+    """struct(width, centre) of the narrowest interval between TWENTIETHS that holds half of the values."""
+    half = 10
+    return F.array_min(F.array(*[F.struct((q[k + half] - q[k]).alias("width"), q[k + half // 2].alias("centre")) for k in range(len(TWENTIETHS) - half)]))
+
+
+def notation_links(loads: DataFrame, forms: DataFrame, total: DataFrame) -> DataFrame:
+    """(notation, kind, to_notation, links, scale, spread, mid, to_mid): robust log scales between the notations of the same records.
+
+    Entities are pre-aggregated to one mean per notation, and each is linked to its record's most common notation only (plain metres or tonnes
+    first), so that an entity of many rows makes no more links than it has notations.
+    """
+    rows = keyed(loads).filter(F.col("record_id").isNotNull()).join(small(forms.select(*FORM, "notation", F.col("number").cast("double").alias("x"))), FORM)
+    per = rows.groupBy("record_id", "notation").agg(F.avg("x").alias("v"))
+    per = per.join(small(total.select("notation", "kind", "n", "base")), "notation")
+    per = per.withColumn("to", F.max(F.struct("base", "n", "notation", "v")).over(Window.partitionBy("record_id", "kind")))
+    edges = per.filter(F.col("notation") != F.col("to.notation")).groupBy("notation", "kind", F.col("to.notation").alias("to_notation"))
+    edges = edges.agg(
+        F.count(F.lit(1)).alias("links"), F.percentile_approx(F.log(F.col("to.v") / F.col("v")), TWENTIETHS, 1000).alias("q"),
+        F.percentile_approx("v", 0.5, 1000).alias("mid"), F.percentile_approx(F.col("to.v"), 0.5, 1000).alias("to_mid"),
+    )
+    edges = edges.filter(F.col("links") >= MIN_LINKS).withColumn("h", _narrowest_half(F.col("q")))
+    return edges.select("notation", "kind", "to_notation", "links", F.col("h.centre").alias("scale"), F.col("h.width").alias("spread"), "mid", "to_mid")
+
+
+def propagated(edges: DataFrame, bases: DataFrame) -> DataFrame:
+    """(notation, kind, links, log_scale, offset, spread, learned): units of notations through the graph of their links, until no more become known.
+
+    bases: (notation, at), the log of the millimetres or kilograms of one, for notations that are known beforehand. learned: null where the links
+    disagree (spread beyond SNAP_LOG), leave an offset beyond MAX_OFFSET, or fit no known conversion.
+    """
+    known, n = bases, -1
+    while True:
+        step = edges.join(known.select(F.col("notation").alias("to_notation"), "at"), "to_notation").withColumn("log_scale", F.col("scale") + F.col("at"))
+        step = step.withColumn("offset", F.col("to_mid") - F.exp(F.col("scale")) * F.col("mid"))
+        best = step.groupBy("notation", "kind").agg(F.max_by(F.struct("links", "log_scale", "offset", "spread", "to_mid"), F.struct("links", "log_scale")).alias("b"))
+        plain = (F.col("b.spread") <= SNAP_LOG) & (F.abs("b.offset") <= MAX_OFFSET * F.col("b.to_mid"))
+        best = materialize(best.withColumn("learned", F.when(plain, _snap(F.col("kind"), F.col("b.log_scale")))).select("notation", "kind", "b.links", "b.log_scale", "b.offset", "b.spread", "learned"), "learned-units")
+        more = best.filter("learned IS NOT NULL").select("notation", F.log(_factor(F.col("learned"))).alias("at")).join(bases.select("notation"), "notation", "left_anti")
+        known, before, n = bases.unionByName(more), n, more.count()
+        if n <= before:
+            return best
+
+
 def learned_units(loads: DataFrame, forms: DataFrame) -> DataFrame:
-    """(notation, kind, slot, token, n, links, log_scale, offset, spread, learned, worded, unit): the notations of forms and the unit of each.
+    """(notation, kind, slot, token, n, links, log_scale, offset, spread, learned, alike, worded, unit): the notations of forms and the unit of each.
 
-    forms: stated(loads), written. learned: by links through the graph, null where they are under MIN_LINKS, disagree (middle half wider
-    than SNAP_LOG) or fit no known conversion; worded: the first unit in its words. unit: learned where the words name no unit or this
-    one among others, else worded. A notation with neither has none. Entities are pre-aggregated to one mean per notation, and each is
-    linked to its record's most common notation only, so that an entity of many rows makes no more links than it has notations.
+    forms: stated(loads), written. learned: by links through the graph; alike: that of the notation of the same letters, elsewhere, with the most
+    links; worded: the first unit in its words. unit: learned, unless its words name another unit and links are under OVERRULE_LINKS; else
+    alike; else worded. A notation with none of them has no unit.
     """
     total = forms.groupBy("notation", "kind", "slot", "token").agg(F.sum("n").alias("n"))
     total = total.withColumn("words", F.when(F.col("slot") != "none", units_of_words(F.col("kind"), F.col("token"))))
     total = total.withColumn("worded", F.get("words", F.lit(0)))
     total = materialize(total.withColumn("base", (F.col("slot") == "none") | F.coalesce(F.col("worded").isin(*BASE), F.lit(False))), "notations")
-    rows = keyed(loads).filter(F.col("record_id").isNotNull()).join(small(forms.select(*FORM, "notation", F.col("number").cast("double").alias("x"))), FORM)
-    per = rows.groupBy("record_id", "notation").agg(F.avg("x").alias("v"))
-    per = per.join(small(total.select("notation", "kind", "n", "base")), "notation")
-    anchor = Window.partitionBy("record_id", "kind")
-    per = per.withColumn("to", F.max(F.struct("base", "n", "notation", "v")).over(anchor))
-    keys, ratio = ["notation", "kind"], F.log(F.col("to.v") / F.col("v"))
-    edges = (
-        per.filter(F.col("notation") != F.col("to.notation"))
-        .withColumn("r", ratio)
-        .groupBy(*keys, F.col("to.notation").alias("to_notation"))
-        .agg(
-            F.count(F.lit(1)).alias("links"),
-            F.percentile_approx("r", [0.25, 0.5, 0.75], 1000).alias("q"),
-            F.percentile_approx("v", 0.5, 1000).alias("v_mid"),
-            F.percentile_approx(F.col("to.v"), 0.5, 1000).alias("to_mid"),
-        )
-    )
-    edges = materialize(edges.filter(F.col("links") >= MIN_LINKS), "notation-links")
-    spread = F.col("q")[2] - F.col("q")[0]
-    # metres and tonnes stand at log 1000 of millimetres and kilograms; a step through the graph adds the scale of its link
-    bases = total.filter("base").select(F.col("notation").alias("to_notation"), F.lit(math.log(1000.0)).alias("at"))
-    known, best = bases, None
-    for _ in range(ROUNDS):
-        step = edges.join(known, "to_notation").withColumn("log_scale", F.col("q")[1] + F.col("at")).withColumn("spread", spread)
-        step = step.withColumn("offset", F.col("to_mid") - F.exp(F.col("q")[1]) * F.col("v_mid"))
-        best = step.groupBy(*keys).agg(F.max_by(F.struct("links", "log_scale", "spread", "offset"), F.struct("links", "log_scale")).alias("b"))
-        snapped = best.withColumn("u", _snap(F.col("kind"), F.col("b.log_scale"))).filter(F.col("u").isNotNull() & (F.col("b.spread") <= SNAP_LOG))
-        more = snapped.select(F.col("notation").alias("to_notation"), F.log(_factor(F.col("u"))).alias("at"))
-        known = bases.unionByName(more.join(bases.select("to_notation"), "to_notation", "left_anti"))
-    out = total.join(best, keys, "left").select(*keys, "slot", "token", "n", "words", "worded", "base", "b.*")
-    learned = F.when(F.col("spread") <= SNAP_LOG, _snap(F.col("kind"), F.col("log_scale")))
-    learned = F.when(F.col("base"), F.when(F.col("kind") == "weight", "t").otherwise("m")).otherwise(learned)
-    out = out.withColumn("learned", learned)
-    confirmed = F.when(F.array_contains("words", F.col("learned")), F.col("learned"))
-    return out.withColumn("unit", F.coalesce(confirmed, "worded", "learned")).drop("base", "words")
+    edges = materialize(notation_links(loads, forms, total), "notation-links")
+    # metres and tonnes stand at log 1000 of millimetres and kilograms
+    best = propagated(edges, total.filter("base").select("notation", F.lit(math.log(1000.0)).alias("at")))
+    base = F.when(F.col("base"), F.when(F.col("kind") == "weight", "t").otherwise("m"))
+    out = total.join(best, ["notation", "kind"], "left").withColumn("learned", F.coalesce(base, "learned"))
+    label = F.col("slot").isin("value", "unit")
+    best_of = F.max_by("learned", F.struct(F.coalesce("links", F.lit(0)), "learned"))
+    alike = out.filter(label & F.col("learned").isNotNull()).groupBy(F.col("kind").alias("k"), F.col("token").alias("t")).agg(best_of.alias("alike"))
+    out = out.join(alike, (F.col("kind") == F.col("k")) & (F.col("token") == F.col("t")) & label, "left")
+    named = F.array_contains("words", F.col("learned"))  # a remark may name several units: one of them confirms
+    held = F.when(F.col("base") | F.col("worded").isNull() | named | (F.col("links") >= OVERRULE_LINKS), F.col("learned"))
+    return out.withColumn("unit", F.coalesce(held, "alike", "worded")).select("notation", "kind", "slot", "token", "n", "links", "log_scale", "offset", "spread", "learned", "alike", "worded", "unit")
 
 
 def converted(loads: DataFrame) -> DataFrame:
     """(load_row_id, std_unit, std_value, unit, slot): every row of loads with a quantity, in whole millimetres or kilograms, rounded half up.
 
-    loads: load_row_id, record_id, restriction_type, value_raw, unit_raw, remark. A quantity whose notation has no known unit counts as
-    metres or tonnes. Values without a quantity, and types that are no length or weight, give no row; repeated rows are kept.
+    loads: load_row_id, record_id, restriction_type, value_raw, unit_raw, remark. A quantity without a label, or with a remark that gives no unit, counts as
+    metres or tonnes; a label of which neither links nor words tell the unit gives a null std_value and unit. Values without a quantity, and types that are no length or weight, give no row; repeated rows are kept.
     """
     forms = materialize(stated(loads), "forms")
     units = learned_units(loads, forms).select("notation", "unit")
     values = materialize(forms.join(units, "notation").select(*FORM, "slot", "number", "unit"), "values")
     out = keyed(loads).join(small(values), FORM)
-    unit = F.coalesce("unit", F.when(F.col("kind") == "weight", "t").otherwise("m"))
+    unit = F.coalesce("unit", F.when(F.col("slot").isin("none", "remark"), F.when(F.col("kind") == "weight", "t").otherwise("m")))
     exact = F.col("number") * _factor(unit, "decimal(13,8)")
     return out.select(
         "load_row_id",

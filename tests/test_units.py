@@ -48,3 +48,40 @@ def test_an_unknown_label_is_learned_from_linked_records(spark):
     units = {(r.slot, r.token): r.unit for r in learned_units(df, materialize(stated(df))).collect()}
     assert units["unit", "tz"] == "ft" and units["remark", "far side"] == "m"
     assert [r.std_value for r in converted(df).filter("load_row_id = 999").collect()] == [3048]
+
+
+def mislabelled():
+    """Records in metres, with deliveries whose label lies (their "mm" are centimetres), is unknown ("tz": feet) or is right ("cm")."""
+    rows = []
+    for k in range(40):
+        metres = 3 + k * 0.05
+        texts = [(f"{metres:.2f}", "m"), (f"{metres * 100:.0f}", "mm"), (f"{metres / 0.3048:.2f}", "tz"), (f"{metres * 100:.0f}", "cm")]
+        rows += [(4 * k + i, f"R{k}", "max_height", v, u, None) for i, (v, u) in enumerate(texts)]
+    return [*rows, (900, None, "max_height", "512", "mm", None), (901, None, "max_height", "10", "tz", None), (902, None, "max_height", "10 tz", None, None), (903, None, "max_height", "10", "qq", None)]
+
+
+def test_links_hold_against_labels(spark, monkeypatch):
+    from gabarit.operators import units
+
+    df = spark.createDataFrame(mislabelled(), COLUMNS)
+    of = lambda: {r.load_row_id: (r.std_value, r.unit) for r in converted(df).filter("load_row_id >= 900").collect()}
+    # 902: the same letters in the value; 903: no links, no known word
+    assert of() == {900: (5120, "cm"), 901: (3048, "ft"), 902: (3048, "ft"), 903: (None, None)}
+    monkeypatch.setattr(units, "MIN_LINKS", 10**9)  # nothing learned: the words alone
+    assert of() == {900: (512, "mm"), 901: (None, None), 902: (None, None), 903: (None, None)}
+
+
+def test_units_pass_through_the_graph_and_offsets_are_no_units(spark):
+    rows = []
+    for k in range(30):
+        metres = 3 + k * 0.05
+        rows += [(10 * k, f"A{k}", "max_height", f"{metres:.3f}", "m", None), (10 * k + 1, f"A{k}", "max_height", f"{metres / 0.9144:.3f}", "ell", None)]
+        # entities without metres: only by way of "ell"
+        rows += [(10 * k + 2, f"B{k}", "max_height", f"{metres / 0.9144:.3f}", "ell", None), (10 * k + 3, f"B{k}", "max_height", f"{metres / 0.0254:.1f}", "nail", None)]
+        rows += [(10 * k + 4, f"C{k}", "max_height", f"{metres / 0.0254:.1f}", "nail", None), (10 * k + 5, f"C{k}", "max_height", f"{metres * 1000:.0f}", "line", None)]
+        rows += [(10 * k + 6, f"A{k}", "max_height", f"{metres + 1.5:.3f}", "gauge", None)]  # metres above another level
+    from gabarit.session import materialize
+
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = {r.token: r.unit for r in learned_units(df, materialize(stated(df))).collect()}
+    assert got == {"m": "m", "ell": "yd", "nail": "in", "line": "mm", "gauge": None}
