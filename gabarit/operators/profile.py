@@ -5,6 +5,10 @@ and forms to a frame (letter runs of any content). Bottom up, an expression repl
 fewer bits: the bits of the expression plus those of every distinct value given the expression. A value whose best expression is
 no shorter than the values themselves is an exception, and its rows are nonconforming.
 
+What is readable follows from the expressions: the rows of those that admit readable texts are readable as far as an exact check confirms
+each text (an instant must exist). Coverage by readable expressions is what is compared between loads; where no expression reads, there are no readable
+rows, and neither range nor median.
+
 All passes over the rows are aggregates with map-side combining; only shapes and loads, never values, meet in one group.
 """
 
@@ -23,8 +27,10 @@ MEDIAN_FACTOR = 2.0
 MEDIAN_DAYS = 365
 NUMBER_FORM = r"^[0-9]+([.,][0-9]+)?$"
 INSTANT_FORM = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})Z$"
-NUMBER_FRAMES = ("9", "9.9", "9,9")
-INSTANT_FRAMES = ("9-9-9T9:9:9Z",)
+#: Induced expressions that admit readable texts.
+_RUN, _TWO = r"\[0-9\](\+|\{[0-9]+\})?", r"\[0-9\](\+|\{2\})"
+NUMBER_EXPRESSION = rf"^{_RUN}((\\\.|,){_RUN})?$"
+INSTANT_EXPRESSION = rf"^\[0-9\](\+|\{{4\}})-{_TWO}-{_TWO}(T|\\p\{{L\}}\+){_TWO}:{_TWO}:{_TWO}(Z|\\p\{{L\}}\+)$"
 BITS_CHAR, BITS_DIGIT, BITS_LETTER = 8.0, 3.3219280948873623, 5.700439718141092
 
 
@@ -164,7 +170,7 @@ def induce_expressions(shapes: DataFrame) -> DataFrame:
 
 def expression_coverage(shapes: DataFrame, expressions: DataFrame) -> DataFrame:
     """(load_id, column_name, expression, conforming, readable_form, rows, exact): rows of each load that each induced expression covers."""
-    readable = F.when(F.col("column_name") == "value_raw", F.col("form").isin(*NUMBER_FRAMES)).otherwise(F.col("form").isin(*INSTANT_FRAMES))
+    readable = F.when(F.col("column_name") == "value_raw", F.col("expression").rlike(NUMBER_EXPRESSION)).otherwise(F.col("expression").rlike(INSTANT_EXPRESSION))
     return (
         shapes.join(expressions, ["column_name", "shape"])
         .groupBy("load_id", "column_name", "expression", "conforming", readable.alias("readable_form"))
@@ -257,12 +263,38 @@ def load_profile(loads: DataFrame) -> DataFrame:
     meta = loads.groupBy("load_id").agg(F.min("feed_name").alias("feed_name"), F.min("load_no").alias("load_no"))
     out = basic.join(covered, keys, "left").join(exact_medians(counts), keys, "left").join(meta, "load_id")
     out = out.withColumn("readable", F.coalesce("readable", F.lit(0))).withColumn("nonconforming", F.coalesce("nonconforming", F.lit(0)))
+    for c in ("out_of_range", "median", "min_num", "max_num"):  # of readable rows
+        out = out.withColumn(c, F.when(F.col("readable") > 0, F.col(c)).otherwise(F.lit(0) if c == "out_of_range" else F.lit(None)))
     before = Window.partitionBy("feed_name", "column_name").orderBy("load_no", "load_id")
     kept = ["rows", "filled", "distincts", "top", "readable", "out_of_range", "median"]
     known = F.col("feed_name").isNotNull() & F.col("load_no").isNotNull()
     return out.select("*", *[F.when(known, F.lag(c).over(before)).alias(f"{c}_before") for c in kept])
 
 
+def profile_columns(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(by, column_name, rows, nulls, distincts, min_text, max_text, top_rows, expression, nonconforming): a profile of any columns, for each value of by.
+
+    Every column is read as text, trimmed; empty texts are nulls. Expressions are induced over all values of a column; expression: that of most rows,
+    nonconforming: rows that none covers in fewer bits than their own. A null by is a value of its own; a column without any text has a null expression.
+    """
+    names = F.array(*[F.struct(F.lit(c).alias("column_name"), F.nullif(blank_trimmed(F.col(c).cast("string")), F.lit("")).alias("text")) for c in columns])
+    counts = df.select(F.col(by).alias("by"), F.inline(names)).groupBy("by", "column_name", "text").agg(F.count(F.lit(1)).alias("rows"))
+    counts = materialize(counts.withColumn("shape", shape_of(F.col("text"))), "column-values")
+    # distinct values over the table: a value that several groups have is described once
+    values = counts.filter("text IS NOT NULL").groupBy("column_name", "text", "shape").agg(F.lit(1).alias("one"))
+    expressions = materialize(induce_expressions(values.groupBy("column_name", "shape").agg(F.sum("one").alias("distincts"))), "column-expressions")
+    covered = counts.filter("text IS NOT NULL").groupBy("by", "column_name", "shape").agg(F.sum("rows").alias("rows")).join(small(expressions), ["column_name", "shape"])
+    covered = covered.groupBy("by", "column_name", "expression", "conforming").agg(F.sum("rows").alias("rows"))
+    covered = covered.groupBy("by", "column_name").agg(F.max_by("expression", F.struct("rows", "expression")).alias("expression"), F.sum(F.when(F.col("conforming"), 0).otherwise(F.col("rows"))).alias("nonconforming"))
+    basic = counts.groupBy("by", "column_name").agg(
+        F.sum("rows").alias("rows"), F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("rows"))), F.lit(0)).alias("nulls"), F.count("text").alias("distincts"),
+        F.min("text").alias("min_text"), F.max("text").alias("max_text"), F.coalesce(F.max(F.when(F.col("text").isNotNull(), F.col("rows"))), F.lit(0)).alias("top_rows"),
+    )
+    covered = covered.select(F.col("by").alias("b"), F.col("column_name").alias("c"), "expression", "nonconforming")
+    out = basic.join(covered, F.col("by").eqNullSafe(F.col("b")) & (F.col("column_name") == F.col("c")), "left").drop("b", "c")
+    return out.withColumn("nonconforming", F.coalesce("nonconforming", F.lit(0))).withColumnRenamed("by", by)
+
+
 def _departs(part: Column, whole: Column, part0: Column, whole0: Column) -> Column:
     """|part/whole - part0/whole0| > a quarter, in whole numbers; false if either share is undefined."""
     d = lambda c: c.cast("decimal(18,0)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gabarit.operators.profile import coverage_changes, expression_coverage, induce_expressions, load_findings, load_profile, shape_counts, value_counts
+from gabarit.operators.profile import coverage_changes, expression_coverage, induce_expressions, load_findings, load_profile, profile_columns, shape_counts, value_counts
 from gabarit.operators.spatial import located, near_pairs
 from gabarit.operators.units import BASE, converted, learned_units, stated
 from gabarit.session import materialize, small
@@ -29,6 +29,15 @@ def p2_expressions(spark: SparkSession, d: str) -> DataFrame:
     return coverage_changes(expression_coverage(shapes, small(materialize(induce_expressions(shapes), "expressions"))), loads)
 
 
+PROFILED = ["feed_name", "record_id", "road_segment_id", "restriction_type", "value_raw", "unit_raw", "remark", "review_due_at_raw"]
+
+
+def p2_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Every text column of the loads, for each load."""
+    p = profile_columns(table(spark, d, "restriction_loads"), "load_id", PROFILED)
+    return p.select("load_id", "column_name", "rows", "nulls", "distincts", "min_text", "max_text", "top_rows")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(located(table(spark, d, "restrictions")), NEAR_M).select("id_a", "id_b")
 
@@ -46,7 +55,7 @@ def p4_units(spark: SparkSession, d: str) -> DataFrame:
     return learned_units(loads, materialize(stated(loads), "forms")).select("kind", "slot", "token", "n", "links", "log_scale", "offset", "learned", "worded", "unit")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p3_found, p4_found, p4_converted, p4_units)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p2_columns, p3_found, p4_found, p4_converted, p4_units)}
 
 _TRIM = r"'^[\s\x{00a0}\x{202f}]+|[\s\x{00a0}\x{202f}]+$', '', 'g'"
 _P2 = rf"""
@@ -105,7 +114,11 @@ SELECT load_row_id, CASE {" ".join(f"WHEN unit = '{u}' THEN '{s}'" for u, (s, f)
   cast(floor(num * CASE {" ".join(f"WHEN unit = '{u}' THEN cast({f} AS decimal(13,8))" for u, (s, f) in _UNITS.items())} END + 0.5) AS bigint) std_value
 FROM k WHERE num > 0 AND unit NOT IN ('m', 't')
 """
+_P2_COLUMNS = "WITH u AS (" + " UNION ALL ".join(f"SELECT load_id, '{c}' column_name, nullif(regexp_replace({c}, {_TRIM}), '') t FROM restriction_loads" for c in PROFILED) + """)
+SELECT load_id, column_name, cast(sum(n) AS bigint) "rows", cast(coalesce(sum(n) FILTER (t IS NULL), 0) AS bigint) nulls, count(t) distincts, min(t) min_text, max(t) max_text, coalesce(max(n) FILTER (t IS NOT NULL), 0) top_rows
+FROM (SELECT load_id, column_name, t, count(*) n FROM u GROUP BY ALL) GROUP BY ALL"""
 SQL: dict[str, str] = {
+    "p2_columns": _P2_COLUMNS,
     "p2_found": _P2 + _P2_PAIRS + "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT a.load_id, a.column_name, '{k}' finding FROM q a JOIN p b ON a.prev = b.load_id AND a.column_name = b.column_name WHERE {_DEPARTS(*v)}" for k, v in _SHARES.items()
     ) + """ UNION ALL SELECT a.load_id, a.column_name, 'median' FROM q a JOIN p b ON a.prev = b.load_id AND a.column_name = b.column_name

@@ -5,7 +5,9 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from gabarit.operators.profile import coverage_changes, expression_coverage, induce_expressions, load_findings, load_profile, readable_instant, readable_number, shape_counts, value_counts
+from gabarit.operators.profile import INSTANT_EXPRESSION as profile_instant
+from gabarit.operators.profile import NUMBER_EXPRESSION as profile_number
+from gabarit.operators.profile import coverage_changes, expression_coverage, induce_expressions, load_findings, load_profile, profile_columns, readable_instant, readable_number, shape_counts, value_counts
 
 COLUMNS = "load_id long, feed_name string, load_no int, restriction_type string, value_raw string, review_due_at_raw string"
 
@@ -89,3 +91,32 @@ def test_fixed_expressions_match_their_own_values(spark):
     e = {r["shape"]: r["expression"] for r in induce_expressions(shapes).collect()}
     assert all(re.fullmatch(e[re.sub("[0-9]", "9", t)], t) for t in texts)
     assert e["9" * 21] == "[0-9]{21}" and e["<99>"] == "<[0-9]{2}>"
+
+
+def test_findings_rest_on_the_induced_expressions(spark, monkeypatch):
+    from gabarit.operators import profile
+
+    rng = random.Random(8)
+    good = [(1, "a", 1, "max_height", f"{rng.randint(200, 600) / 100}", "2024-05-01T00:00:00Z") for _ in range(80)]
+    bad = [(2, "a", 2, "max_height", f"{rng.randint(200, 600) / 100} m" if k % 2 else f"{rng.randint(200, 600)}", "2024-05-01T00:00:00Z") for k in range(80)]
+    df = spark.createDataFrame(good + bad, COLUMNS)
+    found = lambda: {tuple(r) for r in load_findings(load_profile(df)).collect()}
+    assert found() == {(2, "value_raw", "unreadable_share"), (2, "value_raw", "range_share"), (2, "value_raw", "median")}
+    monkeypatch.setattr(profile, "induce_expressions", lambda s: s.select("column_name", "shape", F.lit("").alias("form"), F.lit("x").alias("expression"), F.lit(True).alias("conforming")).distinct())
+    assert found() == set()  # one expression for everything: nothing is readable, so nothing departs
+
+
+def test_expressions_that_read(spark):
+    texts = [r"[0-9]", r"[0-9]{2}\.[0-9]+", r"[0-9]+,[0-9]{3}", r"[0-9]+ m", r"\p{L}+", r"[0-9]+-[0-9]+", "x", r"[0-9]\.[0-9]\.[0-9]"]
+    assert [bool(re.search(profile_number, t)) for t in texts] == [True, True, True, False, False, False, False, False]
+    instants = [r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z", r"[0-9]+-[0-9]+-[0-9]+\p{L}+[0-9]+:[0-9]+:[0-9]+\p{L}+", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]{2}-[0-9]{2}-[0-9]{4}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z"]
+    assert [bool(re.search(profile_instant, t)) for t in instants] == [True, True, False, False]
+
+
+def test_any_column(spark):
+    rows = [("a", 1, "x1"), ("a", None, " x2 "), ("a", 3, ""), (None, 3, None)]
+    got = {(r.k, r.column_name): r for r in profile_columns(spark.createDataFrame(rows, "k string, n long, t string"), "k", ["n", "t"]).collect()}
+    r = got["a", "t"]
+    assert (r.rows, r.nulls, r.distincts, r.min_text, r.max_text, r.top_rows) == (3, 1, 2, "x1", "x2", 1)
+    assert (got["a", "n"].nulls, got[None, "n"].rows, got[None, "t"].expression) == (1, 1, None)
+    assert profile_columns(spark.createDataFrame([], "k string, t string"), "k", ["t"]).count() == 0
