@@ -38,21 +38,38 @@ def height_or_reason(text: Column) -> Column:
     return F.struct(F.when(reason.isNull(), n).alias("value"), reason.alias("reason"))
 
 
+#: A height tag in parts: whole number, decimal mark, decimals, and its sign (none, m, ft, or feet and inches).
+HEIGHT_PARTS = r"^\s*(?<whole>\d+)(?:(?<mark>[.,])(?<decimals>\d+))?\s*(?<sign>m|ft|'(?:\s*(?<inches>\d+)\s*\")?)?\s*$"
+#: Names of what a tag is written in, and metres of a foot and an inch.
+BARE, METRE, FOOT, FEET_INCHES, NO_HEIGHT = "bare-number", "m", "ft", "ft/in", "non-numeric"
+FOOT_M, INCH_M = 0.3048, 0.0254
+
+
 def tagged_height(text: Column) -> Column:
-    """struct(metres, unit) of a height tag: metres (any comma is a decimal mark), feet and inches, or feet; unit non-numeric and no metres else; null for null."""
-    dots = F.replace(text, F.lit(","), F.lit("."))
-    m, ft_in, ft = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(m)?\s*$", r"^\s*([0-9]+)\s*'\s*(?:([0-9]+)\s*\")?\s*$", r"^\s*([0-9]+(?:\.[0-9]+)?)\s*ft\s*$"
-    inches = F.regexp_extract(text, ft_in, 1).try_cast("double") * 12 + F.coalesce(F.regexp_extract(text, ft_in, 2).try_cast("double"), F.lit(0.0))
-    metres = F.when(dots.rlike(m), F.regexp_extract(dots, m, 1).try_cast("double")).when(text.rlike(ft_in), inches * 0.0254).when(text.rlike(ft), F.regexp_extract(text, ft, 1).try_cast("double") * 0.3048)
-    unit = F.when(dots.rlike(m), F.when(F.regexp_extract(dots, m, 2) == "m", "m").otherwise("bare-number")).when(text.rlike(ft_in), "ft/in").when(text.rlike(ft), "ft").otherwise("non-numeric")
-    return F.when(text.isNotNull(), F.struct(metres.alias("metres"), unit.alias("unit")))
+    """struct(metres, unit) of a height tag; metres null and unit non-numeric where it is none; null for null.
+
+    A comma is a decimal mark in metres only; feet before inches are whole.
+    """
+    whole, mark, decimals, sign, inches = (F.regexp_extract(text, HEIGHT_PARTS, k) for k in range(1, 6))
+    number = F.concat_ws(".", whole, F.nullif(decimals, F.lit(""))).try_cast("double")
+    feet_inches = sign.startswith("'")
+    unit = F.when(sign == "", BARE).when(sign == "m", METRE).when((sign == "ft") & (mark != ","), FOOT).when(feet_inches & (mark == ""), FEET_INCHES)
+    unit = F.when(text.rlike(HEIGHT_PARTS), unit)
+    factor = F.when(unit == FOOT, FOOT_M).when(unit == FEET_INCHES, 12 * INCH_M).otherwise(1.0)
+    more = F.when(unit == FEET_INCHES, F.coalesce(inches.try_cast("double"), F.lit(0.0)) * INCH_M).otherwise(0.0)
+    return F.when(text.isNotNull(), F.struct(F.when(unit.isNotNull(), number * factor + more).alias("metres"), F.coalesce(unit, F.lit(NO_HEIGHT)).alias("unit")))
+
+
+#: Lower bounds of clearance classes in metres, with the names of the classes.
+CLEARANCE_CLASSES = {0.0: "<2.0 (suspect)", 2.0: "2.0-3.5", 3.5: "3.5-4.0", 4.0: "4.0-4.5", 4.5: "4.5-5.0", 5.0: "5.0-5.5", 5.5: "5.5-7.0"}
+HIGHEST, ABOVE = 7.0, ">7.0 (suspect)"
 
 
 def clearance_bucket(h: Column) -> Column:
-    out = F.when(h.isNull(), "non-numeric").when(h < 2, "<2.0 (suspect)").when(h > 7, ">7.0 (suspect)")
-    for lo, hi in ((2.0, 3.5), (3.5, 4.0), (4.0, 4.5), (4.5, 5.0), (5.0, 5.5)):
-        out = out.when(h < hi, f"{lo:.1f}-{hi:.1f}")
-    return out.otherwise("5.5-7.0")
+    """The class of a clearance: of the bounds that it reaches, the highest; beyond HIGHEST, and null, have names of their own."""
+    reached = sum((F.when(h >= bound, 1).otherwise(0) for bound in list(CLEARANCE_CLASSES)[1:]), F.lit(0))
+    name = F.get(F.array(*map(F.lit, CLEARANCE_CLASSES.values())), reached)
+    return F.when(h.isNull(), NO_HEIGHT).when(h > HIGHEST, ABOVE).otherwise(name)
 
 
 def coverage_bucket(h: Column) -> Column:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from gabarit.functions.crs import with_wgs84
 from gabarit.functions.text import height_or_reason, is_blank, month_start, picked, stable_id
+from gabarit.operators.rules import schema_rules, violations
 
 #: Codes of what a bridge carries, and those over or under a road.
 KNOWN_FUNCTIONS, ROAD_FUNCTIONS = (1, 2, 3, 4, 5, 6, 7), (1, 3, 6)
+#: What an imported record says of its source.
+SOURCE_NAME, VALUE_SOURCE, STATUS = "MOT bridges layer", "posted_sign", "unverified"
+TIME_WINDOWS = "array<struct<days:array<string>,start_time:string,end_time:string,valid_from:string,valid_until:string,note:string>>"
 
 
 def properties_of(table: DataFrame) -> DataFrame:
@@ -25,11 +29,24 @@ def is_itm(px: Column, py: Column, crs: Column) -> Column:
     return F.coalesce(declared, (px > 100000) & (px < 300000) & (py > 350000) & (py < 820000), F.lit(False))
 
 
-def imported(features: DataFrame) -> DataFrame:
+def record_columns(licence: str | None = None) -> dict[str, Column]:
+    """The columns of a restriction record, of a row of imported() that has an id; observed_at is the row's own."""
+    none = lambda kind: F.lit(None).cast(kind)
+    own = picked(F.col("props"), ["OBJECTID"])
+    return {
+        "road_segment_id": F.concat(F.lit("mot-bridge:"), F.col("key")), "geometry": F.struct(F.lit("Point").alias("type"), F.array(F.array("lon", "lat")).alias("coordinates")),
+        "value_source": F.lit(VALUE_SOURCE), "direction": none("string"), "restriction_type": F.lit("max_height"), "value_numeric": F.col("h.value"), "value_boolean": none("boolean"), "unit": F.lit("m"),
+        "time_windows": none(TIME_WINDOWS), "status": F.lit(STATUS), "verified_by": none("string"), "verified_at": none("timestamp"),
+        "source": F.struct(F.lit(SOURCE_NAME).alias("name"), F.concat(F.lit("OBJECTID:"), F.when(~is_blank(own), own).otherwise(F.col("key"))).alias("reference"), none("string").alias("url"), F.lit(licence).cast("string").alias("license")),
+    }
+
+
+def imported(features: DataFrame, crs: str | None = None, licence: str | None = None) -> DataFrame:
     """features (index, props map, px, py, crs) with key, skip_reason and its detail, height, lon, lat, id, observed_at and warnings.
 
     skip_reason, first that applies: missing_id, not_over_road, unknown_height, invalid_geometry, schema_invalid. Among rows that come as far as the
-    geometry, an id that was there before (by index) gets the index as suffix. The index is unique; property names match without letter case.
+    geometry, an id that was there before (by index) gets the index as suffix. The index is unique; property names match without letter case. A row whose
+    record breaks the record schema is schema_invalid, its detail the rules that it breaks. crs: overrides what the features declare.
     """
     p = F.col("props")
     get = lambda *names: picked(p, list(names))
@@ -37,7 +54,7 @@ def imported(features: DataFrame) -> DataFrame:
     f = f.withColumn("fn", F.when(get("Function").try_cast("double") % 1 == 0, get("Function").try_cast("double").cast("int")))
     f = f.withColumn("fn", F.when(F.col("fn").isin(*KNOWN_FUNCTIONS), F.col("fn"))).withColumn("odd_fn", ~is_blank(get("Function")) & F.col("fn").isNull())
     f = f.withColumn("h", height_or_reason(get("Gavrit_min", "Min_Gavrit"))).withColumn("hm", height_or_reason(get("Gavrit_max", "Max_Gavrit")))
-    f = f.withColumn("itm", is_itm(F.col("px"), F.col("py"), F.col("crs")))
+    f = f.withColumn("itm", is_itm(F.col("px"), F.col("py"), F.lit(crs) if crs else F.col("crs")))
     f = with_wgs84(f, "px", "py", "__lon", "__lat")
     snap = lambda c: F.floor(c * 1e7 + 0.5) / 1e7
     f = f.withColumn("lon", snap(F.when(F.col("itm"), F.col("__lon")).otherwise(F.col("px")))).withColumn("lat", snap(F.when(F.col("itm"), F.col("__lat")).otherwise(F.col("py")))).drop("__lon", "__lat")
@@ -55,8 +72,15 @@ def imported(features: DataFrame) -> DataFrame:
     reached = F.col("skip_reason").isNull()
     warn = {
         "unrecognised Function value": F.col("odd_fn") & F.col("key").isNotNull(), "Gavrit_max below Gavrit_min": F.col("hm.value") < F.col("h.value"),
-        "repeated bridge key": F.col("repeated"), "no valid D_Update": reached & F.col("observed_at").isNull(), "no CRS declared": F.col("crs").isNull(),
+        "repeated bridge key": F.col("repeated"), "no valid D_Update": reached & F.col("observed_at").isNull(), "no CRS declared": F.lit(not crs) & F.col("crs").isNull(),
     }
+    # the schema is checked on the record that a row becomes, observed now if it has no month; its columns do not stay
+    kept = f.columns
+    record = f.withColumn("__month", F.col("observed_at")).withColumns(record_columns(licence) | {"observed_at": F.coalesce("observed_at", F.current_timestamp())})
+    record = record.withColumn("__broken", F.when(reached, violations(schema_rules()))).withColumn("observed_at", F.col("__month"))
+    bad = F.coalesce(F.size("__broken") > 0, F.lit(False))
+    record = record.withColumn("detail", F.when(bad, F.concat_ws(",", "__broken")).otherwise(F.col("detail"))).withColumn("skip_reason", F.when(bad, "schema_invalid").otherwise(F.col("skip_reason")))
+    f = record.select(*kept)
     return f.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in warn.items()]))).withColumn("height", F.col("h.value"))
 
 

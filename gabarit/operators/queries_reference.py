@@ -37,7 +37,18 @@ def bbox_parse(spark, d):
 
 
 def feature_json(spark, d):
-    return store.features(table(spark, d, "restrictions").filter("geometry IS NOT NULL").dropDuplicates(["id"]))
+    return store.features(table(spark, d, "restrictions").filter("geometry IS NOT NULL").distinct())
+
+
+def feature_fields(spark, d):
+    """What the features say, read back from their text."""
+    f, p = store.features(table(spark, d, "restrictions").distinct()), "$.properties."
+    at = lambda path: F.get_json_object("feature", path)
+    return f.select(
+        "id", at("$.id").alias("feature_id"), at(p + "id").alias("property_id"), at("$.type").alias("kind"), at("$.geometry.type").alias("geometry_type"), at("$.geometry.coordinates[0]").try_cast("double").alias("lon"),
+        F.when(at(p + "value").isin("true", "false"), at(p + "value")).alias("flag"), at(p + "value").try_cast("double").alias("number"), at(p + "unit").alias("unit"), at(p + "source.name").alias("source_name"),
+        at(p + "observedAt").alias("observed_at"), at(p + "verifiedBy").alias("verified_by"), F.size(F.json_object_keys(at("$.properties"))).alias("keys"),
+    )
 
 
 def id_lookup(spark, d):
@@ -194,7 +205,7 @@ def itm_positions(spark, d):
 
 # --- bridge import
 def _imported(spark, d):
-    return bridges.imported(bridges.properties_of(table(spark, d, "bridge_features").dropDuplicates(["objectid"])))
+    return bridges.imported(bridges.properties_of(table(spark, d, "bridge_features").distinct()))
 
 
 def parse_heights(spark, d):
@@ -294,7 +305,7 @@ def audit_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bbox_filter, bbox_top_ids, bbox_parse, feature_json, id_lookup, prefix_counts, audit_batch, store_after_batch, audit_changes, audit_last_state, profile_latest, check_violations, schema_violations,
+        bbox_filter, bbox_top_ids, bbox_parse, feature_json, feature_fields, id_lookup, prefix_counts, audit_batch, store_after_batch, audit_changes, audit_last_state, profile_latest, check_violations, schema_violations,
         violation_summary, vehicle_violations, local_time_parts, active_windows, limit_conflicts, corridor_join, route_lengths, point_at_fraction, route_reasons, route_verdicts, reroute_outcomes, exclusion_rings, round_rings,
         marker_positions, envelopes, extent, bent_routes, polyline_roundtrip, itm_positions, parse_heights, month_starts, stable_ids, import_records, import_skips, import_stats, import_warnings,
         osm_class_coverage, osm_tag_counts, osm_structures, osm_regions, osm_units, osm_top_values, osm_buckets, osm_odd_values, osm_newest, osm_bridges_by_kind, bridge_crossings, underpass_summary,
@@ -387,7 +398,7 @@ _MID = "SELECT DISTINCT id, geometry.coordinates[len(geometry.coordinates) // 2
 _H = "CASE WHEN coalesce(trim({0}), '') = '' THEN 'blank' WHEN n IS NULL THEN 'non_numeric' WHEN n = -1 THEN 'sentinel_-1' WHEN n = 9999 THEN 'sentinel_9999' WHEN n <= 0 THEN 'non_positive' WHEN n > 50 THEN 'out_of_range_gt_50' END"
 _MONTH = r"CASE WHEN regexp_full_match(regexp_replace(trim({0}), '\.0+$', ''), '[0-9]{{6}}') AND cast(substr(trim({0}), 5, 2) AS int) BETWEEN 1 AND 12 AND cast(substr(trim({0}), 1, 4) AS int) >= 1900 THEN substr(trim({0}), 1, 4) || '-' || substr(trim({0}), 5, 2) || '-01' END"
 _SID = "'mot-bridge-' || regexp_replace({0}, '[^A-Za-z0-9_-]', '_', 'g') || CASE WHEN coalesce({1}, '') <> '' THEN '-' || regexp_replace({1}, '[^A-Za-z0-9_-]', '_', 'g') ELSE '' END || '-maxheight-' || substr(sha1('mot-bridges|' || {0} || '|' || coalesce({1}, '') || '|max_height'), 1, 12)"
-_IMPORT = f"""WITH b AS (SELECT DISTINCT ON (objectid) *, coalesce(nullif(trim(bridge_code), ''), cast(objectid AS varchar)) k, CASE WHEN function_code BETWEEN 1 AND 7 THEN function_code END fn, nullif(trim(placement), '') pl FROM bridge_features),
+_IMPORT = f"""WITH b AS (SELECT DISTINCT *, coalesce(nullif(trim(bridge_code), ''), cast(objectid AS varchar)) k, CASE WHEN function_code BETWEEN 1 AND 7 THEN function_code END fn, nullif(trim(placement), '') pl FROM bridge_features),
 n AS (SELECT *, {_NUM.format("regexp_replace(trim(gavrit_min), ',', '.')")} n, CASE WHEN regexp_matches(crs_name, '2039') THEN true WHEN regexp_matches(crs_name, '4326|CRS84') THEN false ELSE coalesce(x > 100000 AND x < 300000 AND y > 350000 AND y < 820000, false) END itm FROM b),
 h AS (SELECT *, {_H.format("gavrit_min")} why FROM n),
 s AS (SELECT *, CASE WHEN k IS NULL THEN 'missing_id' WHEN fn NOT IN (1, 3, 6) THEN 'not_over_road' WHEN why IS NOT NULL THEN 'unknown_height'
@@ -479,6 +490,19 @@ SELECT route_id, cast(i AS int) seq, round(x1 + dx * i / 8e0 - dy / ln * 0.05e0
     "stable_ids": f"SELECT DISTINCT objectid, {_SID.format('coalesce(bridge_code, cast(objectid AS varchar))', 'placement')} id FROM bridge_features",
     "import_records": f"{_IMPORT} SELECT objectid \"index\", CASE WHEN rn > 1 THEN base || '-' || objectid ELSE base END id, n height, {_MONTH.format('d_update')} observed FROM o WHERE skip_reason IS NULL",
     "import_skips": f"{_IMPORT} SELECT objectid \"index\", skip_reason, CASE WHEN skip_reason = 'unknown_height' THEN why END detail FROM o WHERE skip_reason IS NOT NULL",
+    "import_warnings": f"""{_IMPORT}, m AS (SELECT *, {_NUM.format("regexp_replace(trim(gavrit_max), ',', '.')")} nm FROM o)
+SELECT warning, min(objectid) first_index FROM (
+  SELECT objectid, 'unrecognised Function value' warning FROM m WHERE function_code IS NOT NULL AND fn IS NULL AND k IS NOT NULL
+  UNION ALL SELECT objectid, 'Gavrit_max below Gavrit_min' FROM m WHERE why IS NULL AND nm > 0 AND nm <= 50 AND nm <> 9999 AND nm < n
+  UNION ALL SELECT objectid, 'repeated bridge key' FROM m WHERE base IS NOT NULL AND rn > 1
+  UNION ALL SELECT objectid, 'no valid D_Update' FROM m WHERE skip_reason IS NULL AND ({_MONTH.format('d_update')}) IS NULL
+  UNION ALL SELECT objectid, 'no CRS declared' FROM m WHERE crs_name IS NULL) GROUP BY ALL""",
+    "feature_fields": """SELECT DISTINCT id, id feature_id, id property_id, 'Feature' kind, geometry.type geometry_type, CASE WHEN geometry.type = 'Point' THEN geometry.coordinates[1][1] END lon,
+  CASE WHEN unit = 'boolean' THEN cast(value_boolean AS varchar) END flag, CASE WHEN coalesce(unit, '') <> 'boolean' THEN value_numeric END number, unit, source.name source_name,
+  strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%gZ') observed_at, verified_by,
+  cast((id IS NOT NULL)::int + (road_segment_id IS NOT NULL)::int + (value_source IS NOT NULL)::int + (direction IS NOT NULL)::int + (restriction_type IS NOT NULL)::int + (CASE WHEN coalesce(unit, '') = 'boolean' THEN value_boolean IS NOT NULL ELSE value_numeric IS NOT NULL END)::int
+    + (unit IS NOT NULL)::int + (time_windows IS NOT NULL)::int + (status IS NOT NULL)::int + (source IS NOT NULL)::int + (observed_at IS NOT NULL)::int + (verified_by IS NOT NULL)::int + (verified_at IS NOT NULL)::int + (review_due_at IS NOT NULL)::int AS int) keys
+FROM restrictions""",
     "import_stats": f"""{_IMPORT} SELECT count(*) features, count(*) FILTER (WHERE skip_reason IS NULL) records, count(skip_reason) skipped, count(*) FILTER (WHERE skip_reason = 'unknown_height') unknown_height,
  count(*) FILTER (WHERE skip_reason = 'not_over_road') not_over_road, count(*) FILTER (WHERE skip_reason = 'schema_invalid') invalid, count(*) FILTER (WHERE skip_reason IS NULL AND itm) itm_converted FROM o""",
     "osm_class_coverage": f"WITH {_ROADS} SELECT class, count(*) ways, count(raw) with_height FROM rd GROUP BY ALL",

@@ -21,18 +21,27 @@ def in_box(df: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_la
 
 
 def features(df: DataFrame) -> DataFrame:
-    """(id, feature): each record as a GeoJSON feature; absent values are left out, times have milliseconds and Z, a Point has one position."""
+    """(id, feature): each record as a GeoJSON feature.
+
+    value is a number, or, with the unit boolean, true or false; absent values are left out; times have milliseconds and Z; a Point has one position; a
+    record without geometry has null. A null id gives a feature without one.
+    """
     c = F.col("geometry.coordinates")
-    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.try_element_at(c, F.lit(1)).alias("coordinates")))
-    line = F.to_json(F.struct(F.col("geometry.type").alias("type"), c.alias("coordinates")))
-    value = F.when(F.col("unit") == "boolean", F.col("value_boolean").cast("string")).otherwise(F.col("value_numeric").cast("string"))
-    props = F.to_json(F.struct(
-        F.col("road_segment_id").alias("roadSegmentId"), F.col("value_source").alias("valueSource"), "direction", F.col("restriction_type").alias("restrictionType"), value.alias("value"), "unit",
-        F.col("time_windows").alias("timeWindows"), "status", "source", iso_ms(F.col("observed_at")).alias("observedAt"), F.col("verified_by").alias("verifiedBy"),
-        iso_ms(F.col("verified_at")).alias("verifiedAt"), iso_ms(F.col("review_due_at")).alias("reviewDueAt"),
-    ))
-    geometry = F.when(F.col("geometry.type") == "Point", point).otherwise(line)
-    return df.select("id", F.concat(F.lit('{"type":"Feature","id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), props, F.lit("}")).alias("feature"))
+    times = [iso_ms(F.col(name)).alias(alias) for name, alias in (("observed_at", "observedAt"), ("verified_at", "verifiedAt"), ("review_due_at", "reviewDueAt"))]
+
+    def feature(value: Column, geometry: Column) -> Column:
+        properties = F.struct(
+            "id", F.col("road_segment_id").alias("roadSegmentId"), F.col("value_source").alias("valueSource"), "direction", F.col("restriction_type").alias("restrictionType"), value.alias("value"), "unit",
+            F.col("time_windows").alias("timeWindows"), "status", "source", times[0], F.col("verified_by").alias("verifiedBy"), *times[1:],
+        )
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), "id", geometry.alias("geometry"), properties.alias("properties")))
+
+    point = F.struct(F.lit("Point").alias("type"), F.try_element_at(c, F.lit(1)).alias("coordinates"))
+    line = F.struct(F.col("geometry.type").alias("type"), c.alias("coordinates"))
+    flag = F.coalesce(F.col("unit") == "boolean", F.lit(False))
+    by_kind = lambda g: F.when(flag, feature(F.col("value_boolean"), g)).otherwise(feature(F.col("value_numeric"), g))
+    none = F.regexp_replace(by_kind(F.lit(None).cast("struct<type:string>")), '"properties":', '"geometry":null,"properties":')
+    return df.select("id", F.when(F.col("geometry").isNull(), none).when(F.col("geometry.type") == "Point", by_kind(point)).otherwise(by_kind(line)).alias("feature"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -10,6 +10,7 @@ from gabarit.operators.rules import vehicle_rules, violations
 
 #: The router's names of a vehicle's values.
 COSTING = {"height": "height_m", "width": "width_m", "length": "length_m", "weight": "gross_weight_t", "axle_load": "axle_load_t"}
+UNITS, LANGUAGE = "kilometers", "en-US"
 NUMBERS = tuple(COSTING.values())
 
 
@@ -28,15 +29,19 @@ def lon_lat_ok(position: Column) -> Column:
 
 
 def request_errors(df: DataFrame) -> DataFrame:
-    """df (from, to: arrays of lon and lat; the vehicle's columns) with `errors`: every rule that a request breaks, in order."""
-    return df.withColumn("errors", violations({"from": ~lon_lat_ok(F.col("from")), "to": ~lon_lat_ok(F.col("to")), **{f"vehicle.{k}": v for k, v in vehicle_rules().items()}}))
+    """df (from, to: arrays of lon and lat; the vehicle's columns) with `errors`: every rule that a request breaks, in order.
+
+    With form_errors, as profile_from_form gives them, a text that is no number breaks the rule of its field, an optional field too.
+    """
+    unread = (lambda c: F.array_contains("form_errors", c)) if "form_errors" in df.columns else (lambda c: F.lit(False))
+    return df.withColumn("errors", violations({"from": ~lon_lat_ok(F.col("from")), "to": ~lon_lat_ok(F.col("to")), **{f"vehicle.{k}": v | unread(k) if k in NUMBERS else v for k, v in vehicle_rules().items()}}))
 
 
 def router_body(df: DataFrame) -> Column:
     """The router's JSON body of a valid request: two places, truck costing with the vehicle's values (absent ones left out), hazmat if the vehicle states any."""
     place = lambda c: F.struct(F.get(c, F.lit(0)).alias("lon"), F.get(c, F.lit(1)).alias("lat"))
     truck = F.struct(*[F.col(c).alias(k) for k, c in COSTING.items()], F.when(F.col("hazmat").isNotNull(), True).alias("hazmat"))
-    return F.to_json(F.struct(F.array(place(F.col("from")), place(F.col("to"))).alias("locations"), F.lit("truck").alias("costing"), F.struct(truck.alias("truck")).alias("costing_options")))
+    return F.to_json(F.struct(F.array(place(F.col("from")), place(F.col("to"))).alias("locations"), F.lit("truck").alias("costing"), F.struct(truck.alias("truck")).alias("costing_options"), F.lit(UNITS).alias("units"), F.lit(LANGUAGE).alias("language")))
 
 
 def places(text: Column) -> Column:

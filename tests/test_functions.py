@@ -59,9 +59,12 @@ def test_import_heights(spark, raw, want):
     assert tuple(spark.createDataFrame([(raw,)], "t string").select(text.height_or_reason(F.col("t")).alias("h")).first().h) == want
 
 
-@pytest.mark.parametrize("raw, metres, unit", [("4.2", 4.2, "bare-number"), ("3,85 m", 3.85, "m"), ("13'6\"", 4.1148, "ft/in"), ("12'", 3.6576, "ft/in"), ("14 ft", 4.2672, "ft"), ("default", None, "non-numeric")])
+@pytest.mark.parametrize("raw, metres, unit", [("4.2", 4.2, "bare-number"), ("3,85 m", 3.85, "m"), ("13'6\"", 4.1148, "ft/in"), ("12'", 3.6576, "ft/in"), ("14 ft", 4.2672, "ft"), ("default", None, "non-numeric"), (" 4 ", 4.0, "bare-number"), ("4,5 ft", None, "non-numeric"), ("4.5'", None, "non-numeric"), ("12' 6 \"", 3.81, "ft/in"), ("12'6", None, "non-numeric"), ("4.", None, "non-numeric"), ("", None, "non-numeric"), (None, None, None)])
 def test_tagged_heights(spark, raw, metres, unit):
     h = spark.createDataFrame([(raw,)], "t string").select(text.tagged_height(F.col("t")).alias("h")).first().h
+    if raw is None:
+        assert h is None
+        return
     assert h.unit == unit and (h.metres is None if metres is None else h.metres == pytest.approx(metres))
 
 

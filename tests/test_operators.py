@@ -157,3 +157,24 @@ def test_stream_appends_each_batch_once(spark, tmp_path):
     spark.createDataFrame([(3, "b", "delete", "{}", None, None, None)], EVENTS).write.mode("append").parquet(str(src))
     append_audit(event_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_features_keep_the_kind_of_their_value(spark):
+    schema = "id string, road_segment_id string, geometry struct<type:string,coordinates:array<array<double>>>, value_source string, direction string, restriction_type string, value_numeric double, value_boolean boolean, unit string, time_windows array<string>, status string, source struct<name:string>, observed_at timestamp, verified_by string, verified_at timestamp, review_due_at timestamp"
+    row = lambda k, geometry, n, b, unit: (k, "s", geometry, None, None, "t", n, b, unit, None, "verified", ("n",), None, None, None, None)
+    rows = [row("a", ("Point", [[35.0, 31.0]]), 4.25, None, "m"), row("b", ("LineString", [[35.0, 31.0], [35.1, 31.0]]), None, True, "boolean"), row('q"', None, None, None, None)]
+    got = [json.loads(r.feature) for r in store.features(spark.createDataFrame(rows, schema)).collect()]
+    assert got[0] == {"type": "Feature", "id": "a", "geometry": {"type": "Point", "coordinates": [35.0, 31.0]}, "properties": {"id": "a", "roadSegmentId": "s", "restrictionType": "t", "value": 4.25, "unit": "m", "status": "verified", "source": {"name": "n"}}}
+    assert got[1]["properties"]["value"] is True and got[1]["geometry"]["coordinates"][1] == [35.1, 31.0]
+    assert got[2]["geometry"] is None and got[2]["id"] == 'q"' and "value" not in got[2]["properties"]
+
+
+def test_an_import_that_breaks_the_record_schema(spark):
+    rows = [(1, {"OBJECTID": "1", "Gavrit_min": "4.5"}, 35.0, 31.0, "x"), (2, {"OBJECTID": "2", "Gavrit_min": "4.5"}, 178000.0, 665000.0, "EPSG:4326")]
+    df = spark.createDataFrame(rows, "index long, props map<string,string>, px double, py double, crs string")
+    assert [r.skip_reason for r in bridges.imported(df).orderBy("index").collect()] == [None, "invalid_geometry"]
+    assert [r.skip_reason for r in bridges.imported(df, crs="EPSG:2039").orderBy("index").collect()] == [None, None]  # the override goes before what is declared
+    bad = bridges.imported(df, licence="").orderBy("index")
+    assert [(r.skip_reason, r.detail) for r in bad.collect()] == [("schema_invalid", "source.license"), ("invalid_geometry", None)]
+    s = bridges.import_stats(bad).first()
+    assert (s.records, s.skipped, s.invalid) == (0, 2, 1)

@@ -19,7 +19,7 @@ def test_errors_and_body(spark):
     df = request_errors(spark.createDataFrame(rows, REQUEST))
     assert [r.errors for r in df.collect()] == [[], ["from", "to", "vehicle.profile_name", "vehicle.height_m", "vehicle.gross_weight_t", "vehicle.axle_load_t", "vehicle.hazmat"], ["from", "to"]]
     bodies = [json.loads(r[0]) for r in df.select(router_body(df)).collect()]
-    assert bodies[0] == {"locations": [{"lon": 34.8, "lat": 32.1}, {"lon": 35.2, "lat": 31.8}], "costing": "truck", "costing_options": {"truck": {"height": 4.0, "width": 2.5, "length": 12.0, "weight": 26.0}}}
+    assert bodies[0] == {"locations": [{"lon": 34.8, "lat": 32.1}, {"lon": 35.2, "lat": 31.8}], "costing": "truck", "costing_options": {"truck": {"height": 4.0, "width": 2.5, "length": 12.0, "weight": 26.0}}, "units": "kilometers", "language": "en-US"}
     assert bodies[2]["costing_options"]["truck"]["hazmat"] is True
 
 
@@ -27,3 +27,9 @@ def test_places(spark):
     texts = ["34.8,32.1", " 34.8 , 32.1 ", "34.8", "34.8,95", "a,b", "", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(places(F.col("t"))).collect()]
     assert got == [[34.8, 32.1], [34.8, 32.1], None, None, None, None, None]
+
+
+def test_a_text_that_is_no_number_breaks_its_rule(spark):
+    form = profile_from_form(spark.createDataFrame([("Rig", "4,1", "2.5", "12", "26", "ten")], FORM))
+    df = request_errors(form.selectExpr("*", "array(34.8D, 32.1D) AS `from`", "array(35.2D, 31.8D) AS `to`", "CAST(NULL AS struct<adr_classes:array<string>>) AS hazmat"))
+    assert df.first().errors == ["vehicle.axle_load_t"]
