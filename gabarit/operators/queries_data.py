@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gabarit.operators.profile import coverage_changes, expression_coverage, induce_expressions, load_findings, load_profile, profile_columns, shape_counts, value_counts
-from gabarit.operators.spatial import located, near_pairs
+from gabarit.operators.osm import GAZA, WEST_BANK
+from gabarit.operators.spatial import located, near_pairs, regions_of_points
 from gabarit.operators.units import BASE, converted, learned_units, stated
 from gabarit.session import materialize, small
 from gabarit.sources.tables import table
@@ -42,6 +43,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_pairs(located(table(spark, d, "restrictions")), NEAR_M).select("id_a", "id_b")
 
 
+#: A region with a hole, for p3_regions, beside the outlines of the road network's analyses.
+BELT, BELT_HOLE = [(34.4, 30.5), (35.4, 30.5), (35.4, 32.5), (34.4, 32.5)], [(34.8, 31.2), (35.1, 31.2), (35.1, 31.9), (34.8, 31.9)]
+
+
+def p3_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The regions of every located record."""
+    rows = [("belt", BELT, [BELT_HOLE]), ("gaza", GAZA, None), ("west_bank", WEST_BANK, [])]
+    regions = spark.createDataFrame([(k, [list(map(float, p)) for p in ring], holes and [[list(map(float, p)) for p in h] for h in holes]) for k, ring, holes in rows], "region_id string, ring array<array<double>>, holes array<array<array<double>>>")
+    return regions_of_points(located(table(spark, d, "restrictions")), regions, point_id="id", holes="holes").withColumnRenamed("point_id", "id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return converted(table(spark, d, "restriction_loads")).filter(~F.col("unit").isin(*BASE)).select("load_row_id", "std_unit", "std_value")
 
@@ -55,7 +67,7 @@ def p4_units(spark: SparkSession, d: str) -> DataFrame:
     return learned_units(loads, materialize(stated(loads), "forms")).select("kind", "slot", "token", "n", "links", "log_scale", "offset", "learned", "worded", "unit")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p2_columns, p3_found, p4_found, p4_converted, p4_units)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_expressions, p2_columns, p3_found, p3_regions, p4_found, p4_converted, p4_units)}
 
 _TRIM = r"'^[\s\x{00a0}\x{202f}]+|[\s\x{00a0}\x{202f}]+$', '', 'g'"
 _P2 = rf"""
@@ -114,11 +126,28 @@ SELECT load_row_id, CASE {" ".join(f"WHEN unit = '{u}' THEN '{s}'" for u, (s, f)
   cast(floor(num * CASE {" ".join(f"WHEN unit = '{u}' THEN cast({f} AS decimal(13,8))" for u, (s, f) in _UNITS.items())} END + 0.5) AS bigint) std_value
 FROM k WHERE num > 0 AND unit NOT IN ('m', 't')
 """
+_LOCATED = """g AS (SELECT id, geometry.coordinates c FROM restrictions WHERE geometry IS NOT NULL AND id IS NOT NULL),
+v AS (SELECT id, c[len(c) // 2 + 1][1] a, c[len(c) // 2 + 1][2] b FROM g),
+t AS (SELECT id, a, b, NOT (a BETWEEN 34 AND 36 AND b BETWEEN 29 AND 34) AND b BETWEEN 34 AND 36 AND a BETWEEN 29 AND 34 turned FROM v),
+l AS (SELECT DISTINCT id, CASE WHEN turned THEN b ELSE a END x, CASE WHEN turned THEN a ELSE b END y FROM t),
+p AS (SELECT * FROM l WHERE NOT (x = 0 AND y = 0))"""
+
+
+def _crossed(ring: list[tuple[float, float]]) -> str:
+    """Whether a ray from (x, y) to the east crosses a ring an odd number of times."""
+    edges = zip(ring, [*ring[1:], ring[0]])
+    return "(" + " + ".join(f"(({y1} > y) <> ({y2} > y) AND x < {x1} + ({x2} - {x1}) * (y - {y1}) / nullif({y2} - {y1}, 0))::int" for (x1, y1), (x2, y2) in edges) + ") % 2 = 1"
+
+
+_P3_REGIONS = f"""WITH {_LOCATED}
+SELECT id, 'belt' region_id FROM p WHERE x BETWEEN 34.4 AND 35.4 AND y BETWEEN 30.5 AND 32.5 AND NOT (x > 34.8 AND x < 35.1 AND y > 31.2 AND y < 31.9)
+UNION SELECT id, 'gaza' FROM p WHERE {_crossed(GAZA)} UNION SELECT id, 'west_bank' FROM p WHERE {_crossed(WEST_BANK)}"""
 _P2_COLUMNS = "WITH u AS (" + " UNION ALL ".join(f"SELECT load_id, '{c}' column_name, nullif(regexp_replace({c}, {_TRIM}), '') t FROM restriction_loads" for c in PROFILED) + """)
 SELECT load_id, column_name, cast(sum(n) AS bigint) "rows", cast(coalesce(sum(n) FILTER (t IS NULL), 0) AS bigint) nulls, count(t) distincts, min(t) min_text, max(t) max_text, coalesce(max(n) FILTER (t IS NOT NULL), 0) top_rows
 FROM (SELECT load_id, column_name, t, count(*) n FROM u GROUP BY ALL) GROUP BY ALL"""
 SQL: dict[str, str] = {
     "p2_columns": _P2_COLUMNS,
+    "p3_regions": _P3_REGIONS,
     "p2_found": _P2 + _P2_PAIRS + "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT a.load_id, a.column_name, '{k}' finding FROM q a JOIN p b ON a.prev = b.load_id AND a.column_name = b.column_name WHERE {_DEPARTS(*v)}" for k, v in _SHARES.items()
     ) + """ UNION ALL SELECT a.load_id, a.column_name, 'median' FROM q a JOIN p b ON a.prev = b.load_id AND a.column_name = b.column_name

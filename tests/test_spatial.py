@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gabarit.operators.spatial import ear_clip, located, near_pairs, regions_of_points
+from gabarit.operators.spatial import bad_rings, ear_clip, located, near_pairs, regions_of_points
 
 R = 6371008.8
 
@@ -83,6 +83,34 @@ def test_crowded_nodes_are_split(spark):
     pts = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit(35.0).alias("x"), F.lit(31.0).alias("y"))
     tri = spark.createDataFrame([("a", 0, 34.9, 30.9, 35.1, 30.9, 35.0, 31.2, 10)], "region_id string, tri int, ax double, ay double, bx double, by double, cx double, cy double, level int")
     assert points_in_triangles(pts, tri, [10], hot=50).count() == 500
+    many = tri.crossJoin(spark.range(300).select(F.col("id").cast("string").alias("k"))).select(F.concat("region_id", "k").alias("region_id"), *tri.columns[1:])
+    assert points_in_triangles(pts, many, [10], hot=50).select("id", "region_id").distinct().count() == points_in_triangles(pts, many, [10], hot=50).count() == 500 * 300
+
+
+def test_meridian_and_poles(spark):
+    points = [("a", 179.99995, 10.0), ("b", -179.99995, 10.0), ("c", 180.0, 10.00001), ("d", -180.0, 10.0001), ("n1", 0.0, 89.9999), ("n2", 180.0, 89.9999), ("n3", 90.0, 89.99995), ("n4", -90.0, 90.0), ("s1", -170.0, -89.9999), ("s2", 10.0, -89.99995), ("m", 0.0, 89.9), ("k", 0.1, 89.9), ("far", 0.0, 0.0)]
+    rng = random.Random(11)
+    points += [(f"p{k}", rng.uniform(-180, 180), 90 - rng.random() * 0.0004) for k in range(60)] + [(f"w{k}", (180 + rng.uniform(-0.0005, 0.0005)) % 360 - 360 * (rng.random() < 0), 45 + rng.uniform(0, 0.0005)) for k in range(40)]
+    points = [(i, x - 360 if x > 180 else x, y) for i, x, y in points]
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for k, a in enumerate(points) for b in points[k + 1 :] if haversine(a[1:], b[1:]) <= 30}
+    got = [(r.id_a, r.id_b) for r in near_pairs(spark.createDataFrame(points, "id string, x double, y double"), 30.0).collect()]
+    assert {("a", "b"), ("n1", "n2"), ("s1", "s2"), ("m", "k")} - {("m", "k")} <= want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_holes_and_bad_rings(spark):
+    square = lambda a, b: [[a, a], [b, a], [b, b], [a, b]]
+    regions = [("ring", square(0.0, 10.0), [square(2.0, 4.0), square(6.0, 8.0)[::-1]]), ("bow", [[20.0, 0.0], [22.0, 2.0], [22.0, 0.0], [20.0, 3.0]], None), ("half", square(30.0, 40.0), [[[31.0, 31.0], [33.0, 33.0], [33.0, 31.0], [31.0, 33.5]]])]
+    df = spark.createDataFrame(regions, "region_id string, ring array<array<double>>, holes array<array<array<double>>>")
+    points = [("in", 5.0, 5.0), ("hole", 3.0, 3.0), ("middle", 7.0, 7.0), ("edge", 2.0, 3.0), ("corner", 4.0, 4.0), ("out", 11.0, 1.0), ("bow", 21.5, 1.0), ("half", 32.5, 32.0)]
+    got = {tuple(r) for r in regions_of_points(spark.createDataFrame(points, "point_id string, x double, y double"), df, holes="holes").collect()}
+    assert got == {("in", "ring"), ("edge", "ring"), ("corner", "ring"), ("half", "half")}
+    assert {tuple(r) for r in bad_rings(df, holes="holes").collect()} == {("bow", 0), ("half", 1)}
+
+
+def test_ear_clipping_of_many_corners():
+    n = 1500
+    ring = [((2 + math.sin(17 * t)) * math.cos(t), (2 + math.sin(17 * t)) * math.sin(t)) for t in (2 * math.pi * k / n for k in range(n))]
+    assert sum(area([ring[i] for i in t]) for t in ear_clip(ring)) == pytest.approx(area(ring), rel=1e-9)
 
 
 def test_locations(spark):
