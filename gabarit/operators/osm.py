@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gabarit.functions.geo import haversine_m, in_ring
 from gabarit.functions.text import COVERAGE_CLASSES, CROSSING_CLASSES, NON_ROADS, NOT_CROSSED, clearance_bucket, coverage_bucket, layer_of, road_class, tagged_height
 from gabarit.operators.lines import crossings
-from gabarit.session import materialize
+from gabarit.session import materialize, small
 
 #: Tags that are counted, and rough outlines of two regions as (lon, lat).
 COUNTED_TAGS = ("maxheight", "maxheight:physical", "maxwidth", "maxlength", "maxweight", "maxaxleload", "hgv", "hazmat")
@@ -113,11 +113,15 @@ def underpasses(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(bridge_id, kind, road_id, class, x, y, source, height): each road under a bridge, with the clearance the road states.
 
     source: way_tag, or node_within_30m for the first of the road's nodes with a height tag in that distance, else null. height: its parsed value.
+    The ways are read once and written, bridges and roads with what the steps need of them.
     """
-    b, r = bridge_ways(ways), under_roads(ways)
-    met = materialize(crossings(b, r), "crossings").join(b.select(F.col("way_id").alias("bridge_id"), "kind"), "bridge_id").join(r.select(F.col("way_id").alias("road_id"), "class", height_tag().alias("tagged")), "road_id")
-    tagged = nodes.select("node_id", height_tag().alias("node_tag"), "lon", "lat").filter("node_tag IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL")
-    along = r.select(F.col("way_id").alias("road_id"), F.posexplode("nodes").alias("pos", "node_id")).join(tagged, "node_id")
+    ways = materialize(_usable(ways).select("way_id", "tags", "nodes", "coords"), "usable-ways")
+    b = materialize(bridge_ways(ways).select("way_id", "kind", "layer", "coords", "nodes"), "bridges")
+    r = materialize(under_roads(ways).select("way_id", "class", "layer", "coords", "nodes", height_tag().alias("tagged")), "roads")
+    met = materialize(crossings(b, r), "crossings")
+    met = met.join(b.select(F.col("way_id").alias("bridge_id"), "kind"), "bridge_id").join(r.select(F.col("way_id").alias("road_id"), "class", "tagged"), "road_id")
+    marked = nodes.select("node_id", height_tag().alias("node_tag"), "lon", "lat").filter("node_tag IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL")
+    along = r.filter("tagged IS NULL").select(F.col("way_id").alias("road_id"), F.posexplode("nodes").alias("pos", "node_id")).join(small(materialize(marked, "marked-nodes")), "node_id")
     near = met.filter("tagged IS NULL").join(along, "road_id").filter(haversine_m(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")) <= NODE_RADIUS_M)
     near = near.groupBy("bridge_id", "road_id").agg(F.min_by("node_tag", "pos").alias("node_tag"))
     out = met.join(near, ["bridge_id", "road_id"], "left")
@@ -125,13 +129,19 @@ def underpasses(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("bridge_id", "kind", "road_id", "class", "x", "y", source.alias("source"), tagged_height(F.coalesce("tagged", "node_tag"))["metres"].alias("height"))
 
 
+def underpass_totals(rows: DataFrame) -> DataFrame:
+    """One row over all underpasses: underpasses, with_clearance, percent (one decimal, null if there is none)."""
+    n, has = F.count(F.lit(1)), F.count("source")
+    return rows.agg(n.alias("underpasses"), has.alias("with_clearance"), F.round(F.try_divide(has * 100.0, n), 1).alias("percent"))
+
+
 def underpass_classes(rows: DataFrame) -> DataFrame:
-    """(class, underpasses, under_road, under_rail, with_clearance, percent) of underpasses()."""
+    """(class, underpasses, under_road, under_rail, with_clearance, percent) of underpasses(), in the order of the classes."""
     n = F.count(F.lit(1))
     has = F.count("source")
     return rows.groupBy("class").agg(
         n.alias("underpasses"), F.count_if(F.col("kind") == "road").alias("under_road"), F.count_if(F.col("kind") == "rail").alias("under_rail"), has.alias("with_clearance"), F.round(has * 100.0 / n, 1).alias("percent")
-    )
+    ).orderBy("class")
 
 
 def clearance_counts(rows: DataFrame) -> DataFrame:
@@ -141,3 +151,19 @@ def clearance_counts(rows: DataFrame) -> DataFrame:
 
 def bridges_over_roads(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count_distinct("bridge_id").alias("bridges"))
+
+
+def report(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(part, key, value, n): the counts of both analyses in one table, and nothing else of the extract: classes, tags, structures, regions, units, buckets, bridges, underpasses, clearances."""
+    rows = materialize(underpasses(ways, nodes), "underpasses")
+    one = lambda part, df, key, value, n: df.select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value") if value else F.lit(None).cast("string").alias("value"), F.col(n).cast("long").alias("n"))
+    coverage, structures, regions = class_coverage(ways), structure_totals(ways), region_totals(ways)
+    parts = [
+        one("class", coverage, "class", None, "ways"), one("class with height", coverage, "class", None, "with_height"), one("tag", tag_counts(ways, nodes), "kind", "tag", "n"), one("structure", structures, "structure", None, "total"),
+        one("structure with height", structures, "structure", None, "with_height"), one("region", regions, "region", None, "ways"), one("unit", unit_histogram(ways), "unit", None, "n"), one("height", height_buckets(ways), "bucket", None, "n"),
+        one("bridges", bridges_by_kind(ways), "kind", None, "n"), one("underpasses", underpass_classes(rows), "class", None, "underpasses"), one("bridges over roads", bridges_over_roads(rows), "kind", None, "bridges"), one("clearance", clearance_counts(rows), "source", "bucket", "n"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -296,6 +296,10 @@ def bridges_over_roads(spark, d):
     return osm.bridges_over_roads(osm.underpasses(views.ways(spark, d), views.nodes(spark, d)))
 
 
+def underpass_totals(spark, d):
+    return osm.underpass_totals(osm.underpasses(views.ways(spark, d), views.nodes(spark, d)))
+
+
 def audit_stream(spark, d):
     from gabarit.streaming.audit import drained_counts
 
@@ -309,7 +313,7 @@ QUERIES = {
         violation_summary, vehicle_violations, local_time_parts, active_windows, limit_conflicts, corridor_join, route_lengths, point_at_fraction, route_reasons, route_verdicts, reroute_outcomes, exclusion_rings, round_rings,
         marker_positions, envelopes, extent, bent_routes, polyline_roundtrip, itm_positions, parse_heights, month_starts, stable_ids, import_records, import_skips, import_stats, import_warnings,
         osm_class_coverage, osm_tag_counts, osm_structures, osm_regions, osm_units, osm_top_values, osm_buckets, osm_odd_values, osm_newest, osm_bridges_by_kind, bridge_crossings, underpass_summary,
-        clearance_counts, bridges_over_roads, audit_stream,
+        clearance_counts, bridges_over_roads, underpass_totals, audit_stream,
     )
 }
 
@@ -517,6 +521,7 @@ UNION ALL SELECT 'node', unnest([CASE WHEN maxheight IS NOT NULL THEN 'maxheight
     "osm_newest": f"WITH {_WAYS} SELECT cast(max(ts) AS bigint) newest FROM (SELECT ts FROM w UNION ALL SELECT ts FROM nd)",
     "osm_bridges_by_kind": f"{_UNDER} SELECT kind, count(*) n FROM b WHERE kind IS NOT NULL GROUP BY ALL",
     "bridge_crossings": f"{_UNDER} SELECT bridge_id, road_id, kind, class, source, round(height, 4) height FROM uh",
+    "underpass_totals": f"{_UNDER} SELECT count(*) underpasses, count(source) with_clearance, round(count(source) * 100.0e0 / nullif(count(*), 0), 1) percent FROM uh",
     "underpass_summary": f"{_UNDER} SELECT class, count(*) underpasses, count(*) FILTER (WHERE kind = 'road') under_road, count(*) FILTER (WHERE kind = 'rail') under_rail, count(source) with_clearance, round(count(source) * 100.0e0 / count(*), 1) percent FROM uh GROUP BY ALL",
     "clearance_counts": f"""{_UNDER} SELECT source, CASE WHEN height IS NULL THEN 'non-numeric' WHEN height < 2 THEN '<2.0 (suspect)' WHEN height > 7 THEN '>7.0 (suspect)' WHEN height < 3.5 THEN '2.0-3.5' WHEN height < 4 THEN '3.5-4.0' WHEN height < 4.5 THEN '4.0-4.5' WHEN height < 5 THEN '4.5-5.0' WHEN height < 5.5 THEN '5.0-5.5' ELSE '5.5-7.0' END bucket, count(*) n FROM uh WHERE source IS NOT NULL GROUP BY ALL""",
     "bridges_over_roads": f"{_UNDER} SELECT kind, count(DISTINCT bridge_id) bridges FROM uh GROUP BY ALL",
