@@ -14,9 +14,23 @@ def envelope(coordinates: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(axis(1)), F.array_min(axis(2)), F.array_max(axis(1)), F.array_max(axis(2))
 
 
+BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
+
+
+def with_box(df: DataFrame) -> DataFrame:
+    """df with its envelope in the columns BOX, as the store keeps it."""
+    return df.withColumns(dict(zip(BOX, envelope(F.col("geometry.coordinates")))))
+
+
+def write_store(df: DataFrame, path: str, files: int = 200) -> None:
+    """Write records with their boxes, near ones into the same files: box queries then skip files and row groups by the boxes' statistics."""
+    zone = F.floor(F.col("min_lat") * 10)
+    with_box(df).repartitionByRange(files, zone, "min_lon").sortWithinPartitions(zone, "min_lon").write.mode("overwrite").parquet(path)
+
+
 def in_box(df: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> DataFrame:
-    """Records whose envelope overlaps a box, borders included, expired ones too; without geometry none."""
-    a, b, c, d = envelope(F.col("geometry.coordinates"))
+    """Records whose envelope overlaps a box, borders included, expired ones too; without geometry none. The columns BOX are used where they are there."""
+    a, b, c, d = (F.col(n) for n in BOX) if set(BOX) <= set(df.columns) else envelope(F.col("geometry.coordinates"))
     return df.filter((c >= min_lon) & (a <= max_lon) & (d >= min_lat) & (b <= max_lat))
 
 

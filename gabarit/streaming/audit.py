@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gabarit.session import work_dir
-from gabarit.sources.tables import table
 
 EVENTS = "id long, restriction_id string, event_type string, old_row string, new_row string, actor string, occurred_at timestamp"
 
@@ -19,12 +18,25 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
-def daily_counts(events: DataFrame) -> DataFrame:
-    """(day, event_type, n), repeated rows once. On a stream, repeats are known for a day, and late rows still count (update or complete mode)."""
-    once = events.withWatermark("occurred_at", "3650 days").dropDuplicates(["id", "occurred_at"]) if events.isStreaming else events.dropDuplicates(["id", "occurred_at"])
+LATE = "30 days"  # how long the state knows an event, and how late one still counts
+
+
+def daily_counts(events: DataFrame, late: str = LATE) -> DataFrame:
+    """(day, event_type, n), repeated rows once. On a stream an event is known for `late`, and then leaves the state; rows that come later still are dropped."""
+    once = events.withWatermark("occurred_at", late) if events.isStreaming else events
+    once = once.dropDuplicates(["id", "occurred_at"])
     return once.groupBy(F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def keep_counts(events: DataFrame, target: str, checkpoint: str, late: str = LATE):
+    """A running query that keeps daily_counts of a stream of events in `target`; each batch replaces the counts of the one before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    return daily_counts(events, late).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_audit(events: DataFrame, sink: str, checkpoint: str):
     """A running query that appends each micro-batch of events to the trail in `sink`, each batch once: its rows go to a folder named by the batch, which a repeat overwrites."""
 
@@ -35,13 +47,12 @@ def append_audit(events: DataFrame, sink: str, checkpoint: str):
 
 
 def drained_counts(spark: SparkSession, d: str) -> DataFrame:
-    """daily_counts of the restriction_events of a data folder, read as a stream until it is drained and appended to a trail, which is then counted."""
+    """daily_counts of the restriction_events of a data folder, counted as a stream until it is drained."""
     base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{d}/restriction_events.parquet"
     if os.path.isdir(path):
         events = event_stream(spark, path)
     else:
         events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "restriction_events.parquet").parquet(d)
-    append_audit(events, f"{base}/trail", f"{base}/checkpoint").awaitTermination()
-    trail = spark.read.schema(table(spark, d, "restriction_events").schema).parquet(f"{base}/trail")
-    return daily_counts(trail)
+    keep_counts(events, f"{base}/counts", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("day string, event_type string, n long").parquet(f"{base}/counts")

@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 import zlib
 
@@ -178,3 +179,25 @@ def test_an_import_that_breaks_the_record_schema(spark):
     assert [(r.skip_reason, r.detail) for r in bad.collect()] == [("schema_invalid", "source.license"), ("invalid_geometry", None)]
     s = bridges.import_stats(bad).first()
     assert (s.records, s.skipped, s.invalid) == (0, 2, 1)
+
+
+def test_a_written_store_is_pruned_by_its_boxes(spark, tmp_path):
+    rows = [(f"r{k}", ("Point", [[34.0 + k / 100, 31.0]])) for k in range(100)] + [("none", None)]
+    df = spark.createDataFrame(rows, "id string, geometry struct<type:string,coordinates:array<array<double>>>")
+    store.write_store(df, str(tmp_path / "store"), files=5)
+    kept = store.in_box(spark.read.parquet(str(tmp_path / "store")), 34.2, 30.0, 34.4, 32.0)
+    assert {r.id for r in kept.collect()} == {r.id for r in store.in_box(df, 34.2, 30.0, 34.4, 32.0).collect()} == {f"r{k}" for k in range(20, 41)}
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    with redirect_stdout(StringIO()) as said:
+        kept.explain("formatted")
+    assert "GreaterThanOrEqual(max_lon,34.2)" in said.getvalue()
+
+
+def test_written_tables_are_released(spark):
+    from gabarit.session import materialize, release
+
+    release(spark)
+    path = materialize(spark.range(3)).inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(path) and release(spark) == 1 and not os.path.isdir(path)
