@@ -14,6 +14,7 @@ never introduce it. A surname of a member is an anchor too: with a private first
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import takewhile
@@ -51,12 +52,14 @@ TITLED_SHARE = 0.02  # and titles
 FIRST_SHARE = 0.1  # and places before a surname make it a first name
 
 _W = r"[^\W\d_]+(?:['’][^\W\d_]+)*(?:-[^\W\d_]+)*"
-WORD = re.compile(_W)
 _PART = rf"(?:[^\W\d_]\.|{_W})"
-_BIG = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’][^\W\d_]+)*(?:-[^\W\d_]+)*"
-FULL_NAME = re.compile(rf"(?<![\w.'’-])(?:{_BIG},\s+{_BIG}(?:\s+[^\W\d_]\.)?(?=\s*[,;/])|(?:[^\W\d_]\.|{_BIG})(?:\s+(?:[^\W\d_]\.|{_BIG})){{1,3}})")
+_UP = "A-ZÀ-ÖØ-ÞŒŠŸŽ"
+_TAIL = r"[^\W\d_]*(?:['’][^\W\d_]+)*(?:-[^\W\d_]+)*"
+CAPITAL_WORD = re.compile(rf"[{_UP}](?<!\w[{_UP}]){_TAIL}")
+# patterns begin with the letters that they may begin with, so that all else is passed over at once
+FULL_NAME = re.compile(rf"[{_UP}](?<![\w.'’-][{_UP}])(?:\.|{_TAIL})(?:,\s+[{_UP}]{_TAIL}(?:\s+[{_UP}]\.)?(?=\s*[,;/])|(?:\s+[{_UP}](?:\.|{_TAIL})){{1,3}})")
 AFTER_TITLE = re.compile(rf"{_PART}(?:\s+{_PART}){{0,3}}")
-SENTENCE = re.compile(r"(?<=[^\W\d_]{3}[.!?])\s+|(?<=[!?:»)\]])\s+|(?<=\d[.!?])\s+|[—–]\s+|\n\n+")
+SENTENCE = re.compile(r"[.!?:»)\]—–\n](?:(?<=[!?:»)\]—–])|(?<=[^\W\d_]{3}\.)|(?<=\d\.)|(?<=\n)(?=\n))\s+")
 
 PHONE_OR_ID = re.compile(r"(?<![\w])(?:\+\d|\(0|\(\d|\d)[\d() ./  ‑\n-]*\d(?!\w)")
 _PHONE = re.compile(
@@ -88,6 +91,7 @@ _HYPHENED = re.compile(r"-[^\W\d_]+")
 _NEXT = re.compile(r"\s+([^\W\d_]+)")
 _FOLLOWING = re.compile(r"(,?\s+)([^\W\d_]+(?:-[^\W\d_]+)*)(?:\s+[^\W\d_]\.(?=[,;\s]))?")
 _STREETS = {*STREET_EN, *STREET_FR}
+
 _DIGIT = re.compile(r"\d")
 _DE_NUMBER = re.compile(r"\.?\s+[1-9]")
 _SPELT_AT = re.compile(r"\s+(?:at|arobase)\s+[\w-]+(?:\.\w|\s+(?:dot|punkt|point)\s|\s*[(\[](?:dot|punkt|point))", re.I)
@@ -282,7 +286,7 @@ class Finder:
         """(word, titled, near, hint or uses, "") and (word, before, the word that may be a surname) -> how often, of one text."""
         low, said = lower_same(text), Counter()
         hits, names = self.anchors(text, low)
-        said.update((w.group().lower(), "uses", "") for w in WORD.finditer(text) if w.group()[0].isupper())
+        said.update((w.lower(), "uses", "") for w in CAPITAL_WORD.findall(text))
         for kind, s, e in names:
             if kind == "title" and (not s or not text[s - 1].isalnum()) and text[s].isupper() and (low[s:e] != "m." or lang == "fr"):
                 e += text[e : e + 1] == "."
@@ -290,25 +294,25 @@ class Finder:
                 words = list(takewhile(lambda w: w[0].isupper(), m.group().split() if m else ()))
                 if words and words[-1].rstrip(".").lower() not in TITLES:
                     self.named(words, said, "titled")
-        spans = sorted((s, e) for _, s, e, _ in hits)
-        at, k = 0, 0
-        for cut in [m.end() for m in SENTENCE.finditer(text)] + [len(text)]:
-            while k < len(spans) and spans[k][1] <= at:
-                k += 1
-            here = list(takewhile(lambda x: x[0] < cut, spans[k:]))  # noqa: B023  the details of this sentence
-            for m in FULL_NAME.finditer(text, at, cut):
-                parts, begins = m.group().split(), m.start() == at
-                if text[back(text, m.start(), 1) : m.start()].strip().lower() in ARTICLES:
-                    parts = parts[1:]  # what an article stands before is no name
-                while parts and (parts[0].rstrip(".").lower() in TITLES or parts[0].lower() in SMALL_WORDS):
-                    parts, begins = parts[2 if parts[0].lower() in ARTICLES else 1 :], False
-                words = list(takewhile(lambda w: w.lower() not in TITLES, parts))
-                if len(words) < 2 or any(s < m.end() and m.start() < e for s, e in here) or COMPANY_NEXT.match(text, m.end()):
-                    continue
-                hint = words[0].lower() in self.hints and words[-1].lower() not in _STREETS
-                # the first word of a sentence may be any word, unless the other one, in capitals, is the surname
-                self.named(words, said, "near" if here else "hint" if hint else None, not begins or len([w for w in words if not w.endswith(".")]) > 2 or (words[0].isupper() and not words[1].isupper()))
-            at = cut
+        cuts = [0, *(m.end() for m in SENTENCE.finditer(text))]
+        in_sentence: dict[int, list[tuple[int, int]]] = {}  # the details of each sentence
+        for _, s, e, _ in hits:
+            for k in range(bisect_right(cuts, s) - 1, bisect_right(cuts, e - 1)):
+                in_sentence.setdefault(k, []).append((s, e))
+        for m in FULL_NAME.finditer(text):
+            k = bisect_right(cuts, m.start()) - 1
+            here, parts, begins = in_sentence.get(k, ()), m.group().split(), m.start() == cuts[k]
+            if text[back(text, m.start(), 1) : m.start()].strip().lower() in ARTICLES:
+                parts = parts[1:]  # what an article stands before is no name
+            while parts and (parts[0].rstrip(".").lower() in TITLES or parts[0].lower() in SMALL_WORDS):
+                parts, begins = parts[2 if parts[0].lower() in ARTICLES else 1 :], False
+            words = list(takewhile(lambda w: w.lower() not in TITLES, parts))
+            if len(words) < 2 or any(s < m.end() and m.start() < e for s, e in here) or COMPANY_NEXT.match(text, m.end()):
+                continue
+            hint = words[0].lower() in self.hints and words[-1].lower() not in _STREETS
+            # the first word of a sentence may be any word, unless it is the surname, in capitals
+            first = not begins or len([w for w in words if not w.endswith(".")]) > 2 or (words[0].isupper() and not words[1].isupper())
+            self.named(words, said, "near" if here else "hint" if hint else None, first)
         return said
 
     def widen(self, text: str, s: int, e: int, lang: str | None) -> tuple[int, int, list[str]] | None:
