@@ -285,19 +285,19 @@ def bridge_crossings(spark, d):
 
 
 def underpass_summary(spark, d):
-    return osm.underpass_classes(osm.underpasses(views.ways(spark, d), views.nodes(spark, d)))
+    return osm.underpass_classes(osm.underpass_counts(views.ways(spark, d), views.nodes(spark, d)))
 
 
 def clearance_counts(spark, d):
-    return osm.clearance_counts(osm.underpasses(views.ways(spark, d), views.nodes(spark, d)))
+    return osm.clearance_counts(osm.underpass_counts(views.ways(spark, d), views.nodes(spark, d)))
 
 
 def bridges_over_roads(spark, d):
-    return osm.bridges_over_roads(osm.underpasses(views.ways(spark, d), views.nodes(spark, d)))
+    return osm.bridges_over_roads(osm.crossed_bridges(views.ways(spark, d)))
 
 
 def underpass_totals(spark, d):
-    return osm.underpass_totals(osm.underpasses(views.ways(spark, d), views.nodes(spark, d)))
+    return osm.underpass_totals(osm.underpass_counts(views.ways(spark, d), views.nodes(spark, d)))
 
 
 def audit_stream(spark, d):

@@ -201,3 +201,25 @@ def test_written_tables_are_released(spark):
     release(spark)
     path = materialize(spark.range(3)).inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
     assert os.path.isdir(path) and release(spark) == 1 and not os.path.isdir(path)
+
+
+def test_underpasses_are_counted_without_a_row_for_each(spark):
+    """Many ways of one course: counts are those of the rows, pairs that share a node left out, and no written table has a row for each pair."""
+    from gabarit import session
+
+    east, north = [(35.0, 31.0), (35.002, 31.0)], [(35.001, 30.999), (35.001, 31.001)]
+    ways = [way(k, east, highway="primary", bridge="yes") for k in range(30)] + [way(k, north, highway="service", maxheight="4.2" if k % 2 else "none") for k in range(100, 140)]
+    ways += [way(200, north, [2000, 0], highway="track"), way(201, north, [2010, 2011], highway="track"), way(300, [(35.0, 31.0002), (35.002, 31.0002)], [2000, 2001], railway="rail", bridge="yes")]
+    w, n = spark.createDataFrame(ways, WAY), spark.createDataFrame([(2010, {"maxheight": "3.9"}, 35.001, 31.0, 1)], NODE)
+    session.release(spark)
+    counts = osm.underpass_counts(w, n)
+    got = {tuple(r)[:4]: r.n for r in counts.collect()}
+    assert got == {
+        ("road", "service", "way_tag", 4.2): 600, ("road", "service", "way_tag", None): 600, ("rail", "service", "way_tag", 4.2): 20, ("rail", "service", "way_tag", None): 20,
+        ("road", "track", None, None): 29, ("road", "other", "node_within_30m", 3.9): 30, ("rail", "other", "node_within_30m", 3.9): 1,
+    }
+    assert max(spark.read.parquet(p).count() for p in session._WRITTEN) <= len(ways)
+    rows = osm.underpasses(w, n)
+    for f in (osm.underpass_totals, osm.underpass_classes, osm.clearance_counts):
+        assert sorted(map(str, f(counts).collect())) == sorted(map(str, f(rows).collect()))
+    assert {tuple(r) for r in osm.bridges_over_roads(osm.crossed_bridges(w)).collect()} == {tuple(r) for r in osm.bridges_over_roads(rows).collect()} == {("road", 30), ("rail", 1)}
