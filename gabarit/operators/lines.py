@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gabarit.functions.geo import cells, crossing, haversine_m, point_segment_m
+from gabarit.session import materialize
 
 CELL_DEG = 0.002
 M_PER_DEG = 111320.0
@@ -43,13 +44,29 @@ def segment_distance_m(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
     return F.when(crossing(p, q, 0.0).isNotNull(), 0.0).otherwise(ends)
 
 
+def by_shape(routes: DataFrame) -> DataFrame:
+    """(route_id, shape, coords), written: each route with the least route_id of those with the same positions, which alone keeps them. Routes without positions are left out."""
+    r = routes.filter(F.size("coords") > 0).select("route_id", F.xxhash64("coords").alias("h"), "coords")
+    r = r.withColumn("shape", F.min("route_id").over(Window.partitionBy("h", "coords")))
+    return materialize(r.select("route_id", "shape", F.when(F.col("route_id") == F.col("shape"), F.col("coords")).alias("coords")), "by-shape")
+
+
 def corridor(routes: DataFrame, things: DataFrame, radius_m: float = 50.0) -> DataFrame:
     """(route_id, id, distance_m): things at most radius_m from a route, each pair once with its least distance.
 
-    routes: route_id, coords; things: id, coords (one position or a line), as array of struct(x, y). Lines without positions have no pairs.
+    routes: route_id (unique), coords; things: id, coords (one position or a line), as array of struct(x, y). Lines without positions have no pairs.
+    Routes of the same positions are near the same: one of them is held against the things.
+    """
+    shaped = by_shape(routes)
+    return shaped.select("route_id", "shape").join(near_shapes(shaped, things, radius_m), "shape").select("route_id", "id", "distance_m")
+
+
+def near_shapes(shaped: DataFrame, things: DataFrame, radius_m: float = 50.0) -> DataFrame:
+    """(shape, id, distance_m) for the shapes of by_shape().
+
     Points and lines meet in the cells of a grid, an equi-join that AQE may split where a cell is crowded.
     """
-    a = with_cells(segments(routes, "route_id", "coords"), radius_m)
+    a = with_cells(segments(shaped.filter("coords IS NOT NULL"), "shape", "coords"), radius_m)
     b = segments(things, "id", "coords").select("id", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
     b = with_cells(b.select("id", *[F.col(f"t{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])).select("id", "cx", "cy", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
     p = tuple(F.col(c) for c in ("tx1", "ty1", "tx2", "ty2"))
@@ -57,7 +74,7 @@ def corridor(routes: DataFrame, things: DataFrame, radius_m: float = 50.0) -> Da
     point = point_segment_m(p[0], p[1], *q)
     alone = (F.col("tx1") == F.col("tx2")) & (F.col("ty1") == F.col("ty2"))
     hit = a.join(b, ["cx", "cy"]).withColumn("distance_m", F.when(alone, point).otherwise(segment_distance_m(p, q))).filter(F.col("distance_m") <= radius_m)
-    return hit.groupBy("route_id", "id").agg(F.min("distance_m").alias("distance_m"))
+    return hit.groupBy("shape", "id").agg(F.min("distance_m").alias("distance_m"))
 
 
 def meetings(bridges: DataFrame, roads: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def route_verdicts(spark, d):
 
 def reroute_outcomes(spark, d):
     """Each order's route as a straight line of some kilometres, bent round what its vehicle breaks."""
-    v = views.view(spark, d, views.ROUTE_VERTICES, "lineitem").groupBy("route_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"))
+    v = views.vertices(spark, d).groupBy("route_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"))
     q = requests(spark, d).join(v, "route_id").withColumn("x2", F.col("x1") + 0.05).withColumn("y2", F.col("y1") + 0.04)
     out = rerouted(q, _restrictions(spark, d), mock(bulge=0.01, steps=4))
     return out.select("route_id", "outcome", "reroutes", F.concat_ws(",", "avoided").alias("avoided"), F.concat_ws(",", "conflicts").alias("conflicts"), "verified_on_route", "unverified_on_route")

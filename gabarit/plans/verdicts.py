@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gabarit.functions.timewindows import active
-from gabarit.operators.lines import corridor
+from gabarit.operators.lines import by_shape, near_shapes
 from gabarit.operators.rules import LIMITS, actual_of, reason
 from gabarit.plans.views import view
 
@@ -24,9 +24,13 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corridor_reasons(requests: DataFrame, routes: DataFrame, restrictions: DataFrame, radius_m: float = 50.0) -> DataFrame:
-    """requests with each restriction within radius_m of their route, whether it holds at the time, and the reason if it holds and the vehicle breaks it."""
-    near = corridor(routes, restrictions.select("id", "coords"), radius_m)
-    j = near.join(restrictions.drop("coords"), "id").join(requests, "route_id")
+    """requests with each restriction within radius_m of their route, whether it holds at the time, and the reason if it holds and the vehicle breaks it.
+
+    Restrictions meet the shapes of routes first, and requests last, in the join that returns the rows. route_id is unique in routes.
+    """
+    shaped = by_shape(routes)
+    near = near_shapes(shaped, restrictions.select("id", "coords"), radius_m).join(restrictions.drop("coords"), "id")
+    j = shaped.select("route_id", "shape").join(requests, "route_id").join(near, "shape").drop("shape")
     j = j.withColumn("active", active(F.col("time_windows"), F.col("at")))
     why = reason(F.col("value_numeric"), F.col("unit"), actual_of(F.col("restriction_type")), F.col("restriction_type"), F.col("value_boolean"), F.col("hazmat"))
     return j.withColumn("reason", F.when(F.col("active"), why))

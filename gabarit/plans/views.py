@@ -48,9 +48,14 @@ def duck(sql: str, *tables: str) -> str:
     return sql.format(**{t: t for t in tables}).replace("AS STRING", "AS VARCHAR")
 
 
+def vertices(spark: SparkSession, d: str) -> DataFrame:
+    """ROUTE_VERTICES over lines that lie together by order, so that neither its DISTINCT nor a grouping by route moves them again."""
+    return spark.sql(ROUTE_VERTICES, lineitem=table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey"))
+
+
 def routes(spark: SparkSession, d: str) -> DataFrame:
     """(route_id, coords): routes with their vertices in order."""
-    v = view(spark, d, ROUTE_VERTICES, "lineitem")
+    v = vertices(spark, d)
     return v.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("v")).select("route_id", F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("coords"))
 
 

@@ -223,3 +223,15 @@ def test_underpasses_are_counted_without_a_row_for_each(spark):
     for f in (osm.underpass_totals, osm.underpass_classes, osm.clearance_counts):
         assert sorted(map(str, f(counts).collect())) == sorted(map(str, f(rows).collect()))
     assert {tuple(r) for r in osm.bridges_over_roads(osm.crossed_bridges(w)).collect()} == {tuple(r) for r in osm.bridges_over_roads(rows).collect()} == {("road", 30), ("rail", 1)}
+
+
+def test_routes_of_one_shape_meet_things_once(spark):
+    """Each route has its pairs, but only one of each shape is cut into cells."""
+    line = [(35.0, 31.0), (35.1, 31.0)]
+    routes = spark.createDataFrame([(k, line) for k in range(50)] + [(50, line[::-1]), (51, [(36.0, 31.0)]), (52, None)], f"route_id long, coords {XY}")
+    things = spark.createDataFrame([("on", [(35.05, 31.0)]), ("off", [(35.05, 31.1)])], f"id string, coords {XY}")
+    got = [tuple(r) for r in lines.corridor(routes, things).select("route_id", "id").collect()]
+    assert sorted(got) == [(k, "on") for k in range(51)]
+    shaped = lines.by_shape(routes)
+    assert shaped.count() == 52 and sorted(r.route_id for r in shaped.filter("coords IS NOT NULL").collect()) == [0, 50, 51]
+    assert lines.near_shapes(shaped, things).count() == 2
