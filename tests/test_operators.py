@@ -216,7 +216,7 @@ def test_underpasses_are_counted_without_a_row_for_each(spark):
     got = {tuple(r)[:4]: r.n for r in counts.collect()}
     assert got == {
         ("road", "service", "way_tag", 4.2): 600, ("road", "service", "way_tag", None): 600, ("rail", "service", "way_tag", 4.2): 20, ("rail", "service", "way_tag", None): 20,
-        ("road", "track", None, None): 29, ("road", "other", "node_within_30m", 3.9): 30, ("rail", "other", "node_within_30m", 3.9): 1,
+        ("road", "track", None, None): 29, ("road", "track", "node_within_30m", 3.9): 30, ("rail", "track", "node_within_30m", 3.9): 1,
     }
     assert max(spark.read.parquet(p).count() for p in session._WRITTEN) <= len(ways)
     rows = osm.underpasses(w, n)
