@@ -36,9 +36,11 @@ def rerouted(requests: DataFrame, restrictions: DataFrame, provider: Provider, m
 
     requests: route_id (unique), at, the vehicle's columns, and what the provider needs. outcome: clear (no conflict on the last route), no_route (none at
     first), no_detour (none once ids were excluded), no_effect (the conflicts were excluded already), limit (conflicts after max_reroutes).
-    Each pass treats only the requests that are still open; the open ones are written between passes, so that a plan holds one pass.
+    Each pass treats only the requests that are still open; requests and restrictions are written first and open requests between
+    passes, so that a plan holds one pass and no pass derives its inputs again.
     """
     none = F.array().cast("array<string>")
+    requests, restrictions = materialize(requests, "requests"), materialize(restrictions, "restrictions")
     open_ = requests.withColumn("excluded", none).withColumn("last", none)
     done = None
     for attempt in range(max_reroutes + 1):

@@ -50,3 +50,21 @@ def test_limit_and_no_route(spark):
     r = rerouted(req, spark.createDataFrame(records, RECORD), lambda q: q.select("route_id", F.lit(None).cast("array<struct<x:double,y:double>>").alias("coords")).limit(0)).first()
     assert r.outcome == "no_route"
     assert rerouted(req.limit(0), spark.createDataFrame([], RECORD), mock()).count() == 0
+
+
+def test_inputs_are_derived_once(spark):
+    """However many passes there are, requests and restrictions come from their sources once."""
+    asked, held = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(df, schema, n):
+        def one(parts):
+            for r in parts:
+                n.add(1)
+                yield r
+
+        return spark.createDataFrame(df.rdd.mapPartitions(one), schema)
+
+    req = counted(spark.createDataFrame([request(HIGH, "a", "b")], REQUEST), REQUEST, asked)
+    records = counted(spark.createDataFrame([record("max_height", 3.5, at=0.0)], RECORD), RECORD, held)
+    assert [(r.outcome, r.reroutes) for r in rerouted(req, records, mock()).collect()] == [("no_effect", 1)]
+    assert (asked.value, held.value) == (1, 1)
